@@ -122,7 +122,7 @@ def draw(records: DataFrame, targets: DataFrame, seed: int = 0, rows_each: int =
     source never matter; repeated rows of an item count once. A null share or min_rows counts as 0. The same seed gives the
     same sample. Columns other than those named take no part.
     """
-    label = lambda c: F.least(F.col(c), F.lit(1)).cast("int")
+    label = lambda c: F.when(F.col(c) > 1, 1).otherwise(F.col(c)).cast("int")
     units = records.select(F.col("item").cast("long").alias("item"), plain("source").alias("source"), label("label").alias("label")).filter("item is not null and source is not null and label is not null")
     zero = F.lit(0.0)
     goals = targets.select(F.col("draw_id").cast("int").alias("draw_id"), plain("source").alias("source"), label("label").alias("label"), F.greatest(F.coalesce(F.col("share") * F.col("n_rows"), zero), F.coalesce(F.col("min_rows").cast("double"), zero)).alias("goal"))
