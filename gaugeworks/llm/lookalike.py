@@ -18,7 +18,7 @@ LOOKALIKES = {
     "Cyrillic": "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX ҮY ӀI ԚQ ԜW ԌG аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv ӏl",
     "Greek": "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ϳj ϹC ϲc ͿJ",
     "Armenian": "ՍU ՏS ՕO օo սu ոn հh",
-    "Latin": "ɡg ɑa ıi",
+    "Latin": "ɡg ɑa",
 }
 # Dashes drawn as the hyphen-minus.
 HYPHENS = "‐‑"
@@ -64,28 +64,33 @@ def _table() -> dict[int, str | None]:
     return table
 
 
+def _apply(text: str, table: dict[int, str | None], fold_case: bool) -> str:
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if text.isascii():
+        text = text.translate({9: " ", 11: "\n", 12: "\n"}) if any(c in text for c in "\t\x0b\x0c") else text
+    else:
+        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(table))
+    return unicodedata.normalize("NFC", text.casefold()) if fold_case else text
+
+
 def visible_form(text: str, fold_case: bool = False) -> str:
     """One form for all texts that look the same: composed compatibility normalisation without the decompositions that a
     reader sees, one kind of white space and line end, look-alike letters as Latin ones, no default-ignorable characters.
 
     fold_case folds letter case as well, for comparisons in which case is no difference.
     """
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if text.isascii():
-        text = text.translate({9: " ", 11: "\n", 12: "\n"}) if any(c in text for c in "\t\x0b\x0c") else text
-    else:
-        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_table()))
-    return unicodedata.normalize("NFC", text.casefold()) if fold_case else text
+    return _apply(text, _table(), fold_case)
 
 
 def _forms(digest: bool, fold_case: bool):
+    table = _table()  # made once, on the driver
     short = lambda s: blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
     def run(batches):
         for b in batches:
             coded = b.column(1).combine_chunks().dictionary_encode() if isinstance(b.column(1), pa.ChunkedArray) else b.column(1).dictionary_encode()
             values = coded.dictionary.to_pylist()  # the distinct texts of the batch
-            forms = [visible_form(v, fold_case) for v in values]
+            forms = [_apply(v, table, fold_case) for v in values]
             if digest:
                 cols = [pa.array([short(v) for v in values], pa.binary()), pa.array([short(f) for f in forms], pa.binary())]
             else:
