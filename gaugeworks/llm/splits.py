@@ -15,6 +15,8 @@ AUTHOR_FIELDS = ["author", "creator", "photographer"]
 PREFIXES = ["val", "altreal", "external"]
 #: A key is hot if it holds more than this share of all links, so there are at most 1 / share of them.
 HOT_SHARE = 1 / 2000
+#: A key of fewer links is never hot.
+HOT_LEAST = 10_000
 QUARANTINE = "quarantine"
 
 
@@ -40,7 +42,7 @@ def record_links(samples: DataFrame, meta: str = "meta") -> DataFrame:
 def _join_skewed(big: DataFrame, small: DataFrame, on: str, n: int) -> DataFrame:
     """big join small (one row for each value of `on`, with its `n` rows in big): hot values by broadcast of their rows, of
     which there are at most 1 / HOT_SHARE, the others by shuffle."""
-    limit = max(10_000, int(n * HOT_SHARE))
+    limit = max(HOT_LEAST, int(n * HOT_SHARE))
     hot = small.filter(F.col("_n") > limit).drop("_n")
     if hot.isEmpty():
         return big.join(small.drop("_n"), on)

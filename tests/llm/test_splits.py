@@ -40,7 +40,7 @@ def test_components_match_union_find(spark, keys):
 
 
 def test_hot_keys_take_the_other_path(spark, monkeypatch):
-    monkeypatch.setattr(splits, "max", lambda *a: 50, raising=False)
+    monkeypatch.setattr(splits, "HOT_LEAST", 50)
     links = [(i, "hot") for i in range(500)] + [(i, f"k{i % 40}") for i in range(400, 700)]
     members, _ = splits.link_components(spark.createDataFrame(links, "item bigint, key string"))
     assert {r.item: r.component for r in members.collect()} == _components(links)
