@@ -105,7 +105,14 @@ def _match_keys(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     index = TextIndex([k.encode() for k in left["key"]])
     keys = right["key"].tolist()
     hits, _ = index.search([b"\x01" + k.encode() + b"\x01" for k in keys])
-    return pd.DataFrame({"key": [k for k, h in zip(keys, hits) if h]})
+    return pd.DataFrame({"key": pd.Series([k for k, h in zip(keys, hits) if h], dtype=object)})
+
+
+def _own(df: DataFrame, train: bool) -> DataFrame:
+    """Columns of new identity: the two sides of a cogroup come from one table."""
+    for c in df.columns:
+        df = df.withColumnRenamed(c, f"{c}_{train}").withColumn(c, F.col(f"{c}_{train}")).drop(f"{c}_{train}")
+    return df
 
 
 def shared_keys(keys: DataFrame, keys_each: int = 40_000) -> DataFrame:
@@ -119,7 +126,7 @@ def shared_keys(keys: DataFrame, keys_each: int = 40_000) -> DataFrame:
     n = keys.groupBy("train").count().collect()
     shards = max([1, *(-(-r["count"] // (keys_each * (3 if r["train"] else 1))) for r in n)])
     keys = keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    side = lambda t: keys.filter(F.col("train") == t).select("shard", "key").groupBy("shard")
+    side = lambda t: _own(keys.filter(F.col("train") == t).select("shard", "key"), t).groupBy("shard")
     return side(False).cogroup(side(True)).applyInPandas(_match_keys, "key string")
 
 
@@ -180,7 +187,7 @@ def _near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     a, b = left["phash"].tolist(), right["phash"].tolist()
     i, j, bits = near_hashes(a, b, left["route"].to_numpy(), right["route"].to_numpy())
     _, once = np.unique(i * len(b) + j, return_index=True)
-    return pd.DataFrame({"eval_hash": [a[x] for x in i[once]], "train_hash": [b[x] for x in j[once]], "bits": bits[once].astype(np.int32)})
+    return pd.DataFrame({"eval_hash": pd.Series([a[x] for x in i[once]], dtype=object), "train_hash": pd.Series([b[x] for x in j[once]], dtype=object), "bits": bits[once].astype(np.int32)})
 
 
 def near_phashes(hashes: DataFrame, rows_each: int = 150_000) -> DataFrame:
@@ -207,7 +214,7 @@ def near_phashes(hashes: DataFrame, rows_each: int = 150_000) -> DataFrame:
     else:
         routed = routed.withColumn("salt", F.lit(0))
     routed = routed.select("phash", "train", F.col("route").cast("int").alias("route"), F.pmod(F.xxhash64("route", "digits", "salt"), F.lit(shards)).alias("shard"))
-    side = lambda t: routed.filter(F.col("train") == t).select("shard", "route", "phash").groupBy("shard")
+    side = lambda t: _own(routed.filter(F.col("train") == t).select("shard", "route", "phash"), t).groupBy("shard")
     return side(False).cogroup(side(True)).applyInPandas(_near, "eval_hash string, train_hash string, bits int").distinct()
 
 
