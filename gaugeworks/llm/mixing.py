@@ -32,10 +32,10 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 0, rows_each: int = 10
 
     weight = F.greatest(F.coalesce(F.col("weight"), F.lit(0.0)), F.lit(0.0))
     goal = targets.select("mix_id", plain("source").alias("source"), weight.alias("weight"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"), "budget_tokens")
-    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("mix_id"))
+    share = F.try_divide("weight", F.sum("weight").over(Window.partitionBy("mix_id")))
     goal = goal.withColumn("target_share", F.coalesce(share, F.lit(0.0))).withColumn("target_tokens", F.col("target_share") * F.col("budget_tokens"))
     goal = goal.join(totals, "source", "left").withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0).cast("long")))
-    rounds = F.least(F.col("max_repeats").cast("long"), F.floor(F.col("target_tokens") / F.col("available_tokens")))
+    rounds = F.least(F.col("max_repeats").cast("long"), F.floor(F.try_divide("target_tokens", "available_tokens")))
     goal = goal.withColumn("rounds", F.when(F.col("available_tokens") > 0, rounds).otherwise(F.lit(0).cast("long")))
     goal = goal.withColumn("cut", F.when(F.col("rounds") < F.col("max_repeats"), F.col("target_tokens") - F.col("rounds") * F.col("available_tokens")).otherwise(F.lit(0.0)))
     goal = save(goal, "mix-goal")  # a row for each target
@@ -44,7 +44,7 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 0, rows_each: int = 10
     choice = placed.join(goal.select("mix_id", "source", "rounds", "cut"), "source").withColumn("repeats", (F.col("rounds") + extra).cast("int")).filter("repeats > 0").select("mix_id", "source", "item", "tokens", "repeats")
     reached = choice.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("reached_tokens"))
     report = goal.join(reached, ["mix_id", "source"], "left").withColumn("reached_tokens", F.coalesce("reached_tokens", F.lit(0).cast("long")))
-    report = report.withColumn("reached_share", F.col("reached_tokens") / F.sum("reached_tokens").over(Window.partitionBy("mix_id")))
+    report = report.withColumn("reached_share", F.coalesce(F.try_divide("reached_tokens", F.sum("reached_tokens").over(Window.partitionBy("mix_id"))), F.lit(0.0)))
     return choice, report.select("mix_id", "source", "target_share", "target_tokens", "max_repeats", "available_tokens", "reached_tokens", "reached_share")
 
 
