@@ -59,8 +59,9 @@ class CentroidGraph:
         self.c = np.ascontiguousarray(centroids, dtype=np.float32)
         n = len(self.c)
         degree = min(degree, n - 1)
-        rng = np.random.default_rng(seed)
-        self.pivots = np.sort(rng.choice(n, min(n, max(1, 2 * int(n**0.5))), replace=False)).astype(np.int32)
+        # where walks start: the centroids nearest to the centres of about 2 sqrt(n) clusters of centroids
+        middle = balanced_centroids(self.c, max(1, 2 * int(n**0.5)), seed)
+        self.pivots = np.unique(np.argmax(middle @ self.c.T, axis=1)).astype(np.int32)
         rows = []
         for at in range(0, n, 2048):
             sim = self.c[at : at + 2048] @ self.c.T
@@ -89,7 +90,7 @@ class CentroidGraph:
             sim = q @ self.c.T
         else:
             start = q @ self.c[self.pivots].T
-            first = min(4, len(self.pivots))
+            first = min(8, len(self.pivots))
             ids = self.pivots[np.argpartition(-start, first - 1, axis=1)[:, :first]]
             sim = np.einsum("qd,qkd->qk", q, self.c[ids])
             done = np.zeros(ids.shape, dtype=bool)

@@ -44,9 +44,9 @@ def test_close_pairs_and_asked_rows(spark):
 
 
 def test_graph_finds_what_a_full_search_finds():
-    c = neighbours._unit((_clusters(3000, seed=5) * 1000).astype(np.int16))
+    x = neighbours._unit((_clusters(3500, seed=5) * 1000).astype(np.int16))
+    c, q = x[:3000], x[3000:]
     g = neighbours.CentroidGraph(c)
-    q = neighbours._unit((_clusters(500, seed=6) * 1000).astype(np.int16))
     ids, _ = g.search(q, 8, steps=10)
     best = np.argsort(-(q @ c.T), axis=1)[:, :8]
     assert np.mean([len(set(a) & set(b)) / 8 for a, b in zip(ids, best)]) >= 0.9
