@@ -17,7 +17,7 @@ IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "webp", "bmp"]
 #: at most one; each segment has two halves (start, digits), and one of the halves is the same in both hashes.
 SEGMENTS = [((0, 2), (2, 3)), ((5, 2), (7, 3)), ((10, 2), (12, 3)), ((15, 2), (17, 3)), ((20, 3), (23, 3)), ((26, 3), (29, 3))]
 MAX_BITS = 10
-#: Rows of one bucket of equal halves beyond which its training side is salted.
+#: Hashes of one side of a bucket of equal halves beyond which the bucket is cut into tiles.
 HOT_BUCKET = 200_000
 
 
@@ -195,25 +195,27 @@ def near_phashes(hashes: DataFrame, rows_each: int = 150_000) -> DataFrame:
 
     Each distinct hash goes to twelve routes (segment, equal half), each a hash of the half's digits. Routes are the groups
     of one shuffle; in each, evaluation segments are sorted and training segments looked up (near_hashes). A route's
-    bucket of more than HOT_BUCKET training hashes is salted: its training side is dealt out and its evaluation side
-    repeated. Cost grows with the number of distinct hashes, save for what chance brings together.
+    bucket with more than HOT_BUCKET hashes of either side is cut into tiles: each side is dealt into parts of that size, and
+    every part of one meets every part of the other once. Cost grows with the number of distinct hashes, save for what chance brings together.
     """
     hashes = save(hashes.filter("phash is not null").distinct(), "phashes")
     n = hashes.count()
     halves = [h for s in SEGMENTS for h in s]
     routes = F.posexplode(F.array(*[F.substring("phash", start + 1, count) for start, count in halves])).alias("route", "digits")
     routed = hashes.select("phash", "train", routes)
-    per = routed.filter("train").groupBy("route", "digits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_BUCKET)
-    hot = per.select("route", "digits", F.ceil(F.col("n") / HOT_BUCKET).cast("int").alias("salts")) if n > HOT_BUCKET else None
     shards = max(1, -(-12 * n // rows_each))
-    if hot is not None and not hot.isEmpty():
-        routed = routed.join(F.broadcast(hot), ["route", "digits"], "left")  # at most 16 ** 2 x 4 + 16 ** 3 x 8 rows
-        salts = F.coalesce("salts", F.lit(1))
-        salt = F.explode(F.when(F.col("train"), F.array(F.pmod(F.xxhash64("phash"), salts).cast("int"))).otherwise(F.sequence(F.lit(0), salts - 1)))
-        routed = routed.select("phash", "train", "route", "digits", salt.alias("salt"))
-    else:
-        routed = routed.withColumn("salt", F.lit(0))
-    routed = routed.select("phash", "train", F.col("route").cast("int").alias("route"), F.pmod(F.xxhash64("route", "digits", "salt"), F.lit(shards)).alias("shard"))
+    routed = routed.withColumn("tile", F.lit(0))
+    if n > HOT_BUCKET:
+        number = lambda t: F.sum(F.when(F.col("train") == t, 1).otherwise(0))
+        per = routed.groupBy("route", "digits").agg(number(True).alias("t"), number(False).alias("e"))
+        hot = save(per.filter(F.greatest("t", "e") > HOT_BUCKET).select("route", "digits", F.ceil(F.col("t") / HOT_BUCKET).cast("int").alias("t"), F.ceil(F.col("e") / HOT_BUCKET).cast("int").alias("e")), "hot")
+        if not hot.isEmpty():
+            d = routed.join(F.broadcast(hot), ["route", "digits"], "left")  # at most 16 ** 2 x 4 + 16 ** 3 x 8 rows
+            t, e = F.greatest(F.coalesce("t", F.lit(1)), F.lit(1)), F.greatest(F.coalesce("e", F.lit(1)), F.lit(1))
+            deal = lambda k: F.pmod(F.xxhash64("phash"), k).cast("int")
+            tiles = F.when(F.col("train"), F.transform(F.sequence(F.lit(0), e - 1), lambda x: x * t + deal(t))).otherwise(F.transform(F.sequence(F.lit(0), t - 1), lambda x: deal(e) * t + x))
+            routed = d.select("phash", "train", "route", "digits", F.explode(tiles).alias("tile"))
+    routed = routed.select("phash", "train", F.col("route").cast("int").alias("route"), F.pmod(F.xxhash64("route", "digits", "tile"), F.lit(shards)).alias("shard"))
     side = lambda t: _own(routed.filter(F.col("train") == t).select("shard", "route", "phash"), t).groupBy("shard")
     return side(False).cogroup(side(True)).applyInPandas(_near, "eval_hash string, train_hash string, bits int").distinct()
 
