@@ -13,6 +13,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 
@@ -190,13 +191,13 @@ def plan_udf(seed: int = 0, prob: float = 0.9):
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def content_hash_udf(picture: pd.DataFrame) -> pd.Series:
     """SHA-1 of the small picture; null where it cannot be read."""
     return pd.Series([None if x is None else content_hash(x) for x in _rows(picture)], dtype=object)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def stub_features(picture: pd.DataFrame) -> pd.Series:
     """Eight numbers: channel means, deviations and two channel maxima. Stands in for a deep backbone."""
     def one(x):

@@ -123,8 +123,8 @@ def confusion(pairs: DataFrame, label: str, predicted: str = "predicted", n: str
 
 def two_views(first: DataFrame, second: DataFrame, on: list[str]) -> DataFrame:
     """Mean of the scores of two views of each sample; both must have exactly the same keys."""
-    odd = first.select(*on).exceptAll(second.select(*on)).unionByName(second.select(*on).exceptAll(first.select(*on)))
-    if not odd.isEmpty():
+    sides = first.select(*on, F.lit(1).alias("_side")).unionByName(second.select(*on, F.lit(-1).alias("_side")))
+    if not sides.groupBy(*on).agg(F.sum("_side").alias("_odd")).filter("_odd <> 0").isEmpty():
         raise ValueError("the views hold different samples")
     return first.join(second.select(*on, F.col("p").alias("_q")), on).withColumn("p", (F.col("p") + F.col("_q")) / 2).drop("_q")
 

@@ -104,7 +104,9 @@ def lag_correlation(df: DataFrame, key: str = "vid", order: str = "seq", value:
     """(key, frame_corr): Pearson correlation of each value with the one before; 1 for two values or fewer, or for no spread."""
     w = _order(key, order)
     d = df.filter(F.col(value).isNotNull()).withColumn("_before", F.lag(value).over(w))
-    out = d.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.stddev_pop(value).alias("_s"), F.corr("_before", value).alias("_c"))
+    own = F.when(F.col("_before").isNotNull(), F.col(value))
+    together = F.try_divide(F.covar_pop("_before", own), F.stddev_pop("_before") * F.stddev_pop(own))  # corr() fails where nothing varies
+    out = d.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.stddev_pop(value).alias("_s"), together.alias("_c"))
     return out.select(key, F.when((F.col("_n") <= 2) | (F.col("_s") <= 1e-9) | F.col("_c").isNull() | F.isnan("_c"), F.lit(1.0)).otherwise(F.col("_c")).alias("frame_corr"))
 
 
