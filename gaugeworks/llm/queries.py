@@ -203,8 +203,20 @@ select g.mix_id, g.source from goal g left join have h using (source) where g.go
 """
 
 
+# By brute force. On the small tables, where one posting list holds all vectors, the search is exhaustive too.
+_P2 = """
+with v as (
+  select distinct on (vec_id) vec_id, feats::double[] as f from feature_cache
+  where len(feats) = 64 and len(list_filter(feats, lambda x: x is not null and not isnan(x) and not isinf(x))) = 64 and len(list_filter(feats, lambda x: x <> 0)) > 0),
+near as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.f, b.f) as c from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.f, b.f) >= 0.9),
+best as (select *, row_number() over (partition by a order by c desc, b) as n from near)
+select distinct least(a, b) as vec_a, greatest(a, b) as vec_b from best where n <= 10
+"""
+
+
 def oracle_sql():
     return {
+        "p2_found": _P2,
         "p1_found": _P1, "p3_found": _P3, "p4_found": _P4 + "select distinct err_id from k where rank <= 5",
         "p4_top_errors": _P4 + "select arm, condition, label, err_id, path, score, rank::int as rank from k where rank <= 5",
         "p5_found": _P5, "p6_found": _P6, "p7_found": _P7,
