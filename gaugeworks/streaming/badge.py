@@ -64,7 +64,7 @@ def badge_stream(scores: DataFrame, dwell: float | None = None, upper: bool = Fa
 
 def fresh_frames(scores: DataFrame, bound: str = "30 seconds", sent: str = "sent_at", received: str = "received_at") -> DataFrame:
     """Drop, not queue: only frames received within a bound of being sent, each (vid, seq) once while the watermark holds it."""
-    kept = scores.filter((F.unix_micros(received) - F.unix_micros(sent)) <= F.expr(f"cast(interval {bound} as interval second)").cast("double") * 1e6)
+    kept = scores.filter(F.col(received) <= F.col(sent) + F.expr(f"interval {bound}"))
     return kept.withWatermark(sent, bound).dropDuplicatesWithinWatermark(["vid", "seq"])
 
 
