@@ -37,6 +37,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/gaugeworks/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)  # when the driver ends
     out = spark.read.schema(schema).parquet(path)
     out._saved_at = path
     return out

@@ -64,19 +64,23 @@ def contract(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))
         point = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
+        drafts = []
         for _ in range(2):
             point = save(point, "pointers")
+            drafts.append(point)
             up = point.select(F.col("u").alias("p"), F.col("p").alias("pp"))
             point = point.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p"))
         point = save(point, "pointers")
+        for d in drafts:
+            discard(d)
         rest = point.select(F.col("u").alias("p"), F.col("p").alias("v")).filter("p <> v")  # where a pointer goes on
         rest = point.select("p").distinct().join(rest, "p").select(F.col("p").alias("u"), "v")
         a, b = point.select("u", F.col("p").alias("pu")), point.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         new = edges.join(a, "u").join(b, "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
         new = save(new.union(rest.select(F.least("u", "v"), F.greatest("u", "v"))).filter("u <> v").distinct(), "edges")
         moved = save(nodes.join(point.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")), "roots")
-        discard(edges)
-        discard(nodes)
+        for d in (edges, nodes, point):
+            discard(d)
         edges, nodes = new, moved
     return nodes
 
