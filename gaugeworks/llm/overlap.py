@@ -131,7 +131,7 @@ def shared_keys(keys: DataFrame, keys_each: int = 40_000) -> DataFrame:
 
 
 def _words(hashes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(bytes.fromhex("".join(hashes)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+    both = np.frombuffer(b"".join(hashes), dtype=">u8").astype(np.uint64).reshape(-1, 2)
     return both[:, 0], both[:, 1]
 
 
@@ -144,8 +144,8 @@ def _digits(hi: np.ndarray, lo: np.ndarray, start: int, count: int) -> np.ndarra
     return out
 
 
-def near_hashes(a: list[str], b: list[str], route_a: np.ndarray, route_b: np.ndarray, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions in a and b, and differing bits, of hashes within `most` bits that meet on a route.
+def near_hashes(a: list[bytes], b: list[bytes], route_a: np.ndarray, route_b: np.ndarray, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in a and b, and differing bits, of hashes (16 bytes each) within `most` bits that meet on a route.
 
     Route 2 s + h: half h of segment s is equal. The segment of b is looked up among the sorted segments of a as it is
     and with each bit of the other half turned; what is found is compared in full.
@@ -202,7 +202,7 @@ def near_phashes(hashes: DataFrame, rows_each: int = 150_000) -> DataFrame:
     n = hashes.count()
     halves = [h for s in SEGMENTS for h in s]
     routes = F.posexplode(F.array(*[F.substring("phash", start + 1, count) for start, count in halves])).alias("route", "digits")
-    routed = hashes.select("phash", "train", routes)
+    routed = hashes.select(F.unhex("phash").alias("phash"), "train", routes)  # 16 bytes travel, not 32 digits
     shards = max(1, -(-12 * n // rows_each))
     routed = routed.withColumn("tile", F.lit(0))
     if n > HOT_BUCKET:
@@ -217,7 +217,8 @@ def near_phashes(hashes: DataFrame, rows_each: int = 150_000) -> DataFrame:
             routed = d.select("phash", "train", "route", "digits", F.explode(tiles).alias("tile"))
     routed = routed.select("phash", "train", F.col("route").cast("int").alias("route"), F.pmod(F.xxhash64("route", "digits", "tile"), F.lit(shards)).alias("shard"))
     side = lambda t: _own(routed.filter(F.col("train") == t).select("shard", "route", "phash"), t).groupBy("shard")
-    return side(False).cogroup(side(True)).applyInPandas(_near, "eval_hash string, train_hash string, bits int").distinct()
+    near = side(False).cogroup(side(True)).applyInPandas(_near, "eval_hash binary, train_hash binary, bits int").distinct()
+    return near.select(F.lower(F.hex("eval_hash")).alias("eval_hash"), F.lower(F.hex("train_hash")).alias("train_hash"), "bits")
 
 
 def cross_split_pairs(samples: DataFrame) -> DataFrame:
