@@ -440,9 +440,9 @@ def rolling_median5_upper(spark, d):
     return traces.rolling_upper_median(T.frames(spark, d)).select("vid", "seq", F.round("med", 6).alias("med"))
 
 
-@query(with_(FRAMES, "o as (select vid, seq, p, row_number() over (partition by vid order by seq) as n from f)", f"e as (select vid, seq, p, n, p as ema from o where n = 1 union all select o.vid, o.seq, o.p, o.n, {traces.ALPHA}::double * o.p + {1 - traces.ALPHA}::double * e.ema from e join o on o.vid = e.vid and o.n = e.n + 1)") + "select vid, seq, p, round(ema, 6) as ema from e")
+@query(with_(FRAMES, "o as (select vid, seq, p, row_number() over (partition by vid order by seq) as n from f)", f"e as (select vid, seq, p, n, p as ema from o where n = 1 union all select o.vid, o.seq, o.p, o.n, {traces.ALPHA}::double * o.p + {1 - traces.ALPHA}::double * e.ema from e join o on o.vid = e.vid and o.n = e.n + 1)") + "select vid, seq, p, round(ema + 1e-11::double, 9) as ema from e")
 def ema_scores(spark, d):
-    return _round(traces.ema(T.frames(spark, d)), "ema")
+    return traces.ema(T.frames(spark, d)).withColumn("ema", F.round(F.col("ema") + F.lit(1e-11), 9))  # decimal ties must round alike everywhere
 
 
 def _badge_sql(med: str, dwell: float | None) -> list[str]:
@@ -491,12 +491,12 @@ def clip_totals(spark, d):
         F.round(F.avg("on_fraction"), 6).alias("mean_on"), F.round(F.percentile("max_median", F.lit(0.5)), 6).alias("median_max"))
 
 
-@query(with_(FRAMES) + "select vid, count(*) as n, min(p) as min_p, round(quantile_cont(p, 0.05), 6) as p05, round(median(p), 6) as median_p, round(avg(p), 6) as mean_p, round(quantile_cont(p, 0.95), 6) as p95, max(p) as max_p, " + ", ".join(f"round(avg((p >= {t})::int), 6) as frac_ge_{str(t).replace('.', '_')}" for t in traces.SHARES) + " from f group by vid")
+@query(with_(FRAMES) + "select vid, count(*) as n, min(p) as min_p, round(quantile_cont(p, 0.05), 9) as p05, round(median(p), 9) as median_p, round(avg(p), 9) as mean_p, round(quantile_cont(p, 0.95), 9) as p95, max(p) as max_p, " + ", ".join(f"round(avg((p >= {t})::int), 9) as frac_ge_{str(t).replace('.', '_')}" for t in traces.SHARES) + " from f group by vid")
 def trace_stats(spark, d):
-    return _round(traces.trace_stats(T.frames(spark, d)), "p05", "median_p", "mean_p", "p95", *[f"frac_ge_{str(t).replace('.', '_')}" for t in traces.SHARES])
+    return _round(traces.trace_stats(T.frames(spark, d)), "p05", "median_p", "mean_p", "p95", *[f"frac_ge_{str(t).replace('.', '_')}" for t in traces.SHARES], digits=9)
 
 
-@query(with_(FRAMES) + "select vid, round(case when count(*) <= 2 or stddev_pop(p) <= 1e-9 or c is null or isnan(c) then 1.0 else c end, 6) as frame_corr from (select *, lag(p) over (partition by vid order by seq) as q from f) join (select vid as v2, corr(q, p) as c from (select *, lag(p) over (partition by vid order by seq) as q from f) group by vid) on vid = v2 group by vid, c")
+@query(with_(FRAMES) + "select vid, round(case when count(*) <= 2 or stddev_pop(p) <= 1e-9 or c is null or isnan(c) then 1.0 else c end, 9) as frame_corr from (select *, lag(p) over (partition by vid order by seq) as q from f) join (select vid as v2, corr(q, p) as c from (select *, lag(p) over (partition by vid order by seq) as q from f) group by vid) on vid = v2 group by vid, c")
 def lag1_corr(spark, d):
     return _round(traces.lag_correlation(T.frames(spark, d)), "frame_corr")
 
