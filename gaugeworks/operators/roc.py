@@ -26,10 +26,13 @@ def score_counts(df: DataFrame, group: list[str], score: str = "score", label: s
     return used.groupBy(*group, (F.col(score) + F.lit(0.0)).alias("score")).agg(count_if(F.col(label) >= 1).alias("pos"), count_if(F.col(label) == 0).alias("neg"))
 
 
+def _range(c: str, lower: float = 0.0, upper: float = 1.0) -> Column:
+    return F.greatest(F.lit(-1), F.least(F.lit(RANGES), F.floor((F.col(c) - lower) / (upper - lower) * RANGES))).cast("int")
+
+
 def cumulate(counts: DataFrame, group: list[str], columns: list[str], lower: float = 0.0, upper: float = 1.0) -> DataFrame:
     """Add, for each column, <column>_below (its sum over strictly smaller scores of the group) and <column>_all."""
-    place = F.floor((F.col("score") - lower) / (upper - lower) * RANGES)
-    d = counts.withColumn("_range", F.greatest(F.lit(-1), F.least(F.lit(RANGES), place)).cast("int"))
+    d = counts.withColumn("_range", _range("score", lower, upper))
     per = d.groupBy(*group, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
@@ -77,27 +80,32 @@ def roc_vertices(curve: DataFrame, group: list[str]) -> DataFrame:
     """ROC points without those on a straight line between their neighbours; first and last stay.
 
     A point between others is dropped if the steps before and after it have the same number of positives and of negatives.
+    Neighbours are found in two levels, as in cumulate: within a score range, and across ranges from each range's end points.
     """
-    w = Window.partitionBy(*group).orderBy(F.desc("threshold"))
-    step = lambda c: (F.lead(c).over(w) - F.col(c)) - (F.col(c) - F.lag(c).over(w))
-    d = curve.select("*", step("tp").alias("_t"), step("fp").alias("_f"))
+    d = curve.withColumn("_range", _range("threshold"))
+    point = F.struct("tp", "fp")
+    per = d.groupBy(*group, "_range").agg(F.max_by(point, "threshold").alias("_high"), F.min_by(point, "threshold").alias("_low"))
+    across = Window.partitionBy(*group).orderBy(F.desc("_range"))  # at most RANGES + 2 rows a group
+    per = per.select(*group, "_range", F.lag("_low").over(across).alias("_before"), F.lead("_high").over(across).alias("_after"))
+    inside = Window.partitionBy(*group, "_range").orderBy(F.desc("threshold"))
+    d = d.select("*", F.lag(point).over(inside).alias("_lag"), F.lead(point).over(inside).alias("_lead"))
+    on = [d[g].eqNullSafe(per[g]) for g in [*group, "_range"]]
+    before, after = F.coalesce("_lag", "_before"), F.coalesce("_lead", "_after")
+    step = lambda c: (after[c] - d[c]) - (d[c] - before[c])
+    d = d.join(per, on).select(*[d[c] for c in curve.columns], step("tp").alias("_t"), step("fp").alias("_f"))
     return d.filter(F.col("_t").isNull() | (F.col("_t") != 0) | (F.col("_f") != 0)).drop("_t", "_f")
 
 
 def operating_points(curve: DataFrame, group: list[str], rates: list[float] = [0.001, 0.01, 0.05]) -> DataFrame:  # noqa: B006
     """For each false-positive rate, the last ROC vertex that does not exceed it: (group, max_fpr, threshold, fpr, tpr).
 
-    Below the first vertex nothing is flagged: threshold null, both rates 0.
+    Below the first vertex nothing is flagged: threshold null, both rates 0. A rate of a class that the group lacks is null.
     """
-    v = roc_vertices(curve, group)
-    outs = []
-    for r in rates:
-        best = F.max(F.when(F.col("fpr") <= r, F.struct("fpr", "tpr", (-F.col("threshold")).alias("t")))).alias("b")
-        outs.append(v.groupBy(*group).agg(best).select(*group, F.lit(float(r)).alias("max_fpr"), (-F.col("b.t")).alias("threshold"), F.coalesce("b.fpr", F.lit(0.0)).alias("fpr"), F.coalesce("b.tpr", F.lit(0.0)).alias("tpr")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    best = [F.max(F.when(F.col("fpr") <= r, F.struct("fpr", "tpr", (-F.col("threshold")).alias("t")))).alias(f"_b{i}") for i, r in enumerate(rates)]
+    v = roc_vertices(curve, group).groupBy(*group).agg(*best, F.max("fpr").alias("_f"), F.max("tpr").alias("_t"))
+    d = v.select(*group, "_f", "_t", F.explode(F.array(*[F.struct(F.lit(float(r)).alias("max_fpr"), F.col(f"_b{i}").alias("b")) for i, r in enumerate(rates)])).alias("r"))
+    rate = lambda c, known: F.when(F.col(known).isNotNull(), F.coalesce(f"r.b.{c}", F.lit(0.0))).alias(c)
+    return d.select(*group, "r.max_fpr", (-F.col("r.b.t")).alias("threshold"), rate("fpr", "_f"), rate("tpr", "_t"))
 
 
 def threshold_table(df: DataFrame, group: list[str], thresholds: list[float], score: str = "score", label: str = "label") -> DataFrame:

@@ -63,6 +63,13 @@ curve as (select score as threshold, (sum(pos) over (order by score desc))::bigi
 vertices as (select * from (select *, (lead(tp) over w - tp) - (tp - lag(tp) over w) as dt, (lead(fp) over w - fp) - (fp - lag(fp) over w) as df from curve window w as (order by threshold desc)) where dt is null or dt <> 0 or df <> 0)"""
 
 
+#: The same for every arm, over all scores.
+_CURVES = """counts as (select arm, score, count(*) filter (label >= 1) as pos, count(*) filter (label = 0) as neg from scored group by arm, score),
+curve as (select arm, score as threshold, (sum(pos) over (partition by arm order by score desc))::bigint as tp, (sum(neg) over (partition by arm order by score desc))::bigint as fp,
+  nullif(sum(pos) over (partition by arm), 0) as pn, nullif(sum(neg) over (partition by arm), 0) as nn from counts),
+vertices as (select * from (select *, (lead(tp) over w - tp) - (tp - lag(tp) over w) as dt, (lead(fp) over w - fp) - (fp - lag(fp) over w) as df from curve window w as (partition by arm order by threshold desc)) where dt is null or dt <> 0 or df <> 0)"""
+
+
 # ---- ROC and metrics ------------------------------------------------------------------------------------------------
 
 @query(with_(SCORED) + f"select n_fake as n_pos, n_real as n_neg, round(auc, 6) as auc from {_sql_metrics('scored', [])}")
@@ -96,6 +103,23 @@ def operating_points(spark, d):
     return _round(roc.operating_points(roc.roc_curve(T.scored(spark, d).filter(F.col("arm") == ARM), []), []), "fpr", "tpr")
 
 
+@query(with_(SCORED, _CURVES) + "select arm, threshold, tp, fp, round(tp / pn, 6) as tpr, round(fp / nn, 6) as fpr from curve")
+def roc_curve_by_arm(spark, d):
+    return _round(roc.roc_curve(T.scored(spark, d), ["arm"]), "tpr", "fpr")
+
+
+@query(with_(SCORED, _CURVES) + "select arm, threshold, tp, fp from vertices")
+def roc_vertices_by_arm(spark, d):
+    return roc.roc_vertices(roc.roc_curve(T.scored(spark, d), ["arm"]), ["arm"]).select("arm", "threshold", "tp", "fp")
+
+
+@query(with_(SCORED, _CURVES) + """select arm, r as max_fpr, min(threshold) filter (fp / nn <= r) as threshold, case when max(nn) > 0 then coalesce(round(max(fp / nn) filter (fp / nn <= r), 6), 0) end as fpr,
+  case when max(pn) > 0 then coalesce(round(max(tp / pn) filter (fp / nn <= r), 6), 0) end as tpr
+from vertices, (select unnest([0.001::double, 0.01, 0.05]) as r) group by arm, r""")
+def operating_points_by_arm(spark, d):
+    return _round(roc.operating_points(roc.roc_curve(T.scored(spark, d), ["arm"]), ["arm"]), "fpr", "tpr")
+
+
 @query(with_(SCORED) + f"select tag, t as threshold, round(avg(case when label = 0 then (score >= t)::int end), 6) as fpr, round(avg(case when label >= 1 then (score >= t)::int end), 6) as tpr from scored, (select unnest({THRESHOLDS}::double[]) as t) group by tag, t")
 def threshold_table(spark, d):
     return _round(roc.threshold_table(T.scored(spark, d), ["tag"], THRESHOLDS), "fpr", "tpr")
@@ -162,6 +186,13 @@ def contact_sheet_order(spark, d):
     return T.scored(spark, d).filter(F.col("arm") == ARM).select("tag", "err_id", F.round(miss, 6).alias("miss"), F.row_number().over(w).alias("place"))
 
 
+@query(with_(SCORED) + "select arm, tag, err_id, round(abs(score - label), 6) as miss, row_number() over (partition by arm, tag order by abs(score - label) desc, err_id)::int as place from scored")
+def contact_sheet_order_by_arm(spark, d):
+    miss = F.abs(F.col("score") - F.col("label"))
+    w = Window.partitionBy("arm", "tag").orderBy(F.desc(miss), "err_id")
+    return T.scored(spark, d).select("arm", "tag", "err_id", F.round(miss, 6).alias("miss"), F.row_number().over(w).alias("place"))
+
+
 _PAIRS = """views as (
   select path, max(label) as label, avg(case when tag = 'clean' then score end) as clean, avg(case when tag = 'resize_0.5' then score end) as degraded from scored group by path
   having count(*) filter (tag = 'clean') > 0 and count(*) filter (tag = 'resize_0.5') > 0),

@@ -53,3 +53,14 @@ def test_core_never_imports_the_optional_part():
         for n in names:
             if n.endswith(".py"):
                 assert "llm" not in open(os.path.join(at, n)).read(), n
+
+
+def test_every_arm_has_its_curve(spark):
+    from gaugeworks.plans import tables
+
+    scored = tables.scored(spark, FOLDER)
+    arms = {r.arm for r in scored.select("arm").distinct().collect()}
+    assert len(arms) > 1
+    for name in ("roc_curve_by_arm", "roc_vertices_by_arm", "operating_points_by_arm", "contact_sheet_order_by_arm"):
+        assert {r.arm for r in catalogue.queries()[name](spark, FOLDER).select("arm").distinct().collect()} == arms, name
+    assert catalogue.queries()["contact_sheet_order_by_arm"](spark, FOLDER).count() == scored.count()

@@ -90,3 +90,28 @@ def test_vector_functions(spark):
     assert [bool(r.u) for r in use] == [True, False, False, False, False, False]
     c = spark.createDataFrame([(-1.0,), (2.0,), (None,)], "p double").select(V.clamp(F.col("p")).alias("c")).collect()
     assert [r.c for r in c] == [0, 1, None]
+
+
+def _vertices(rows):
+    """Brute force: (threshold, tp, fp) of the vertices of one curve."""
+    points = [(t, sum(s >= t and y == 1 for s, y in rows), sum(s >= t and y == 0 for s, y in rows)) for t in sorted({s for s, _ in rows}, reverse=True)]
+    inner = lambda i: 0 < i < len(points) - 1 and all(points[i + 1][k] - points[i][k] == points[i][k] - points[i - 1][k] for k in (1, 2))
+    return {p for i, p in enumerate(points) if not inner(i)}
+
+
+def test_vertices_need_no_global_window(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([-1.0, 2.0, 0.5, round(rng.random(), 4), round(rng.random() / 500, 6)]), rng.randrange(2)) for _ in range(1500)] + [(None, 0.2, 1), (None, 0.1, 1), (None, 0.05, 1)]
+    df = spark.createDataFrame(rows, S)
+    flat = roc.roc_vertices(roc.roc_curve(df, []), [])
+    assert "windowspecdefinition(threshold" not in flat._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.threshold, r.tp, r.fp) for r in flat.collect()} == _vertices([r[1:] for r in rows])
+    got = roc.roc_vertices(roc.roc_curve(df, ["g"]), ["g"]).collect()
+    for g in ("a", "b", None):
+        assert {(r.threshold, r.tp, r.fp) for r in got if r.g == g} == _vertices([r[1:] for r in rows if r[0] == g])
+
+
+def test_operating_points_of_one_class(spark):
+    rows = [("p", 0.9, 1), ("n", 0.9, 0), ("n", 0.1, 0)]
+    got = {r.g: (r.threshold, r.fpr, r.tpr) for r in roc.operating_points(roc.roc_curve(spark.createDataFrame(rows, S), ["g"]), ["g"], [0.5]).collect()}
+    assert got == {"p": (None, None, 0), "n": (0.9, 0.5, None)}
