@@ -19,6 +19,8 @@ SEGMENTS = [((0, 2), (2, 3)), ((5, 2), (7, 3)), ((10, 2), (12, 3)), ((15, 2), (1
 MAX_BITS = 10
 #: Hashes of one side of a bucket of equal halves beyond which the bucket is cut into tiles.
 HOT_BUCKET = 200_000
+#: Pairs compared at once, and pairs of one equal segment beyond which further digits must be near before they are compared.
+PAIRS, HOT_PAIRS = 2_000_000, 4_000_000
 
 
 def file_key(path: Column | str) -> Column:
@@ -135,50 +137,99 @@ def _words(hashes) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _digits(hi: np.ndarray, lo: np.ndarray, start: int, count: int) -> np.ndarray:
-    """Hexadecimal digits start .. start + count of 128-bit numbers."""
+def _digits(hi: np.ndarray, lo: np.ndarray, digits) -> np.ndarray:
+    """The given hexadecimal digits of 128-bit numbers, as one number."""
     out = np.zeros(len(hi), dtype=np.int64)
-    for d in range(start, start + count):
+    for d in digits:
         word, at = (hi, d) if d < 16 else (lo, d - 16)
         out = (out << 4) | ((word >> np.uint64(60 - 4 * at)) & np.uint64(15)).astype(np.int64)
     return out
 
 
+class _Pairs:
+    """Pairs of 128-bit numbers within `most` (at most 11) bits."""
+
+    def __init__(self, a: list[bytes], b: list[bytes], most: int):
+        (self.ah, self.al), (self.bh, self.bl), self.most = _words(a), _words(b), most
+
+    def lookup(self, ia: np.ndarray, ib: np.ndarray, digits, flips: list[int], depth: int = 3) -> list[tuple]:
+        """Near pairs of rows ia and ib whose digits are equal after one of the flips."""
+        va, vb = _digits(self.ah[ia], self.al[ia], digits), _digits(self.bh[ib], self.bl[ib], digits)
+        order = np.argsort(va, kind="stable")
+        va, ia = va[order], ia[order]
+        found = []
+        for flip in flips:
+            want = vb ^ flip
+            x, y = np.searchsorted(va, want, "left"), np.searchsorted(va, want, "right")
+            hit = np.flatnonzero(y > x)
+            if depth and (y - x).sum() > HOT_PAIRS:
+                runs, run, each = np.unique(x[hit], return_inverse=True, return_counts=True)
+                hot = each * (np.searchsorted(va, va[runs], "right") - runs) > HOT_PAIRS
+                for k in np.flatnonzero(hot):
+                    own = hit[run == k]
+                    found += self.split(ia[x[own[0]] : y[own[0]]], ib[own], depth)
+                hit = hit[~hot[run]]
+            found += self.compare(ia, ib[hit], x[hit], y[hit])
+        return found
+
+    def split(self, ia: np.ndarray, ib: np.ndarray, depth: int) -> list[tuple]:
+        """Near pairs of all rows ia and ib. The digits that vary are dealt into six blocks, of which one has at most one
+        differing bit, as of the six segments; where too few vary, all pairs are compared."""
+        every = [self.ah[ia], self.bh[ib]], [self.al[ia], self.bl[ib]]
+        vary = [np.bitwise_or.reduce([np.bitwise_or.reduce(w) for w in side]) ^ np.bitwise_and.reduce([np.bitwise_and.reduce(w) for w in side]) for side in every]
+        digits = [d for d in range(32) if int(vary[d // 16]) >> (60 - 4 * (d % 16)) & 15]
+        if len(digits) < 12:
+            return self.compare(ia, ib, np.zeros(len(ib), np.int64), np.full(len(ib), len(ia)))
+        found = []
+        for k in range(6):
+            block = digits[k::6]
+            found += self.lookup(ia, ib, block, [0, *(1 << t for t in range(4 * len(block)))], depth - 1)
+        i, j, bits = _joined(found)
+        _, once = np.unique(i * len(self.bh) + j, return_index=True)
+        return [(i[once], j[once], bits[once])]
+
+    def compare(self, ia: np.ndarray, ib: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple]:
+        """Near pairs of each row of ib with rows x to y of ia, about PAIRS at once."""
+        n = y - x
+        upto = np.cumsum(n)
+        found, at = [], 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] - n[at] + PAIRS, "right")))
+            m = n[at:to]
+            i, j = ia[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(x[at:to], m)], np.repeat(ib[at:to], m)
+            bits = np.bitwise_count(self.ah[i] ^ self.bh[j]).astype(np.int64) + np.bitwise_count(self.al[i] ^ self.bl[j])
+            near = bits <= self.most
+            if near.any():
+                found.append((i[near], j[near], bits[near]))
+            at = to
+        return found
+
+
+def _joined(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def near_hashes(a: list[bytes], b: list[bytes], route_a: np.ndarray, route_b: np.ndarray, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions in a and b, and differing bits, of hashes (16 bytes each) within `most` bits that meet on a route.
 
     Route 2 s + h: half h of segment s is equal. The segment of b is looked up among the sorted segments of a as it is
-    and with each bit of the other half turned; what is found is compared in full.
+    and with each bit of the other half turned; what is found is compared in full, about PAIRS pairs at once. A segment
+    that many hashes of both sides share (more than HOT_PAIRS pairs) is first cut by its other digits (_Pairs.split).
     """
-    ah, al = _words(a)
-    bh, bl = _words(b)
+    pairs = _Pairs(a, b, most)
     found = []
     for s, (first, second) in enumerate(SEGMENTS):
-        start, count = first[0], first[1] + second[1]
         low = 4 * second[1]
         for h in (0, 1):
             ia, ib = np.flatnonzero(route_a == 2 * s + h), np.flatnonzero(route_b == 2 * s + h)
             if not len(ia) or not len(ib):
                 continue
-            va, vb = _digits(ah[ia], al[ia], start, count), _digits(bh[ib], bl[ib], start, count)
-            order = np.argsort(va, kind="stable")
-            va, ia = va[order], ia[order]
             turns = range(low) if h == 0 else range(low, low + 4 * first[1])  # the half that may differ
-            for flip in [*([0] if h == 0 else []), *(1 << t for t in turns)]:  # equal segments meet on route h = 0
-                want = vb ^ flip
-                x, y = np.searchsorted(va, want, "left"), np.searchsorted(va, want, "right")
-                hit = np.flatnonzero(y > x)
-                for at in range(0, len(hit), 100_000):
-                    own = hit[at : at + 100_000]
-                    n = y[own] - x[own]
-                    pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(x[own], n)
-                    i, j = ia[pos], np.repeat(ib[own], n)
-                    bits = np.bitwise_count(ah[i] ^ bh[j]).astype(np.int64) + np.bitwise_count(al[i] ^ bl[j])
-                    near = bits <= most
-                    found.append((i[near], j[near], bits[near]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*found))
+            flips = [*([0] if h == 0 else []), *(1 << t for t in turns)]  # equal segments meet on route h = 0
+            found += pairs.lookup(ia, ib, range(first[0], first[0] + first[1] + second[1]), flips)
+    return _joined(found)
 
 
 def _near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

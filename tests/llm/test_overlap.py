@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -65,6 +66,41 @@ def test_hot_buckets_are_salted(spark, monkeypatch):
     assert got == want
 
 
+def _hashes(values):
+    return [v.to_bytes(16, "big") for v in values]
+
+
+def _near_by_rows(a, b):
+    (ah, al), (bh, bl) = overlap._words(a), overlap._words(b)
+    return {(int(i), j) for j in range(len(b)) for i in np.flatnonzero(np.bitwise_count(ah ^ bh[j]) + np.bitwise_count(al ^ bl[j]) <= 10)}
+
+
+def test_hot_segment_needs_little_memory():
+    rng = random.Random(6)
+    a = [(0xABCDE << 108) | rng.getrandbits(108) for _ in range(20_000)]
+    b = [(0xABCDE << 108) | rng.getrandbits(108) for _ in range(19_600)] + [a[i] ^ sum(1 << t for t in rng.sample(range(108), 1 + i % 12)) for i in range(400)]
+    a, b = _hashes(a), _hashes(b)
+    tracemalloc.start()
+    i, j, bits = overlap.near_hashes(a, b, np.zeros(len(a), int), np.zeros(len(b), int))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    assert set(zip(i.tolist(), j.tolist())) == _near_by_rows(a, b) and bits.max() == 10
+
+
+@pytest.mark.parametrize("shared", [20, 60, 100])
+def test_hot_segments_cut_by_further_digits_lose_no_pair(monkeypatch, shared):
+    monkeypatch.setattr(overlap, "HOT_PAIRS", 300)
+    monkeypatch.setattr(overlap, "PAIRS", 1000)
+    rng = random.Random(shared)
+    head = rng.getrandbits(shared) << (128 - shared)
+    base = [head | rng.getrandbits(128 - shared) for _ in range(30)]
+    a, b = ([rng.choice(base) ^ sum(1 << t for t in rng.sample(range(108), rng.randrange(8))) for _ in range(400)] for _ in range(2))
+    a, b = _hashes(a), _hashes(b)
+    i, j, _ = overlap.near_hashes(a, b, np.zeros(len(a), int), np.zeros(len(b), int))
+    assert set(zip(i.tolist(), j.tolist())) == _near_by_rows(a, b)
+
+
 def test_kinds_nulls_and_report(spark):
     rows = [(1, "d/a.jpg", "train", "AB", None, "s", 0, "", ""), (2, "d\\A.png", "val", None, None, " S ", 1, "", ""), (3, None, "test", "ab", None, None, None, "", ""), (4, "d/a.jpg", None, "ab", None, "s", 0, "", ""), (5, "x", "train", None, None, "s", 0, "", ""), (6, None, "val", None, None, "s", 0, "", ""), (None, "d/a.jpg", "val", "ab", None, "s", 0, "", "")]
     df = spark.createDataFrame(rows + rows[:2], SAMPLES)
