@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -186,6 +186,42 @@ def assign_splits(samples: DataFrame, targets: DataFrame, known: tuple[DataFrame
     return assignment, keys, components
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/components/_SUCCESS")))
+
+
+def keep_components(known: tuple[DataFrame, DataFrame], path: str) -> None:
+    """Write (keys, components) of assign_splits as the next version under `path`, a durable folder that no driver deletes.
+
+    Components are written last; a version without them is not finished and is never read. One writer at a time.
+    """
+    spark = known[0].sparkSession
+    n = max([0, *_versions(spark, path)]) + 1
+    known[0].write.mode("overwrite").parquet(f"{path}/{n}/keys")
+    known[1].write.mode("overwrite").parquet(f"{path}/{n}/components")
+
+
+def kept_components(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """The last finished version under `path`, None if there is none."""
+    versions = _versions(spark, path)
+    if not versions:
+        return None
+    return spark.read.parquet(f"{path}/{versions[-1]}/keys"), spark.read.parquet(f"{path}/{versions[-1]}/components")
+
+
+def assign_kept(samples: DataFrame, targets: DataFrame, path: str, seed: int = 0) -> DataFrame:
+    """assign_splits of new records on what `path` keeps of earlier runs, which is then replaced: the assignment. Records of
+    an earlier run must not come again, as they would be counted twice."""
+    assignment, keys, components = assign_splits(samples, targets, kept_components(samples.sparkSession, path), seed)
+    keep_components((keys, components), path)
+    return assignment
+
+
 def linked_records(samples: DataFrame) -> DataFrame:
     """(first_id, sample_id): every record that is linked to another, except the smallest of each component."""
     members, _ = link_components(record_links(samples))

@@ -1,10 +1,11 @@
 import random
+import shutil
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import splits
+from gaugeworks.llm import common, splits
 
 SAMPLES = "sample_id bigint, source string, meta map<string,string>, component string, split string, key string"
 
@@ -88,6 +89,24 @@ def test_later_records_keep_splits_and_conflicts_are_quarantined(spark):
     assert final[min(4 * a, 4 * b)] == (11, splits.QUARANTINE) and sum(n for n, _ in final.values()) == 404
 
 
+def test_components_are_kept_between_runs(spark, tmp_path, monkeypatch):
+    meta = "sample_id bigint, source string, meta map<string,string>"
+    rows = lambda ids: spark.createDataFrame([(i, "s", {"author": f"name {i % 20}"}) for i in ids], meta)
+    first = spark.createDataFrame([("train", 0.5), ("val", 0.5)], "split string, share double")
+    later = spark.createDataFrame([("train", 1.0)], "split string, share double")
+    path, scratch = str(tmp_path / "kept"), tmp_path / "scratch"
+    assert splits.kept_components(spark, path) is None
+    with monkeypatch.context() as m:
+        m.setattr(common, "shared_folder", lambda s: f"file://{scratch}")
+        before = {r.sample_id: r.split for r in splits.assign_kept(rows(range(100)), first, path).collect()}
+    shutil.rmtree(scratch)  # as at the driver's exit
+    (tmp_path / "kept" / "7" / "keys").mkdir(parents=True)  # not finished
+    after = {r.sample_id: r.split for r in splits.assign_kept(rows(range(100, 140)), later, path).collect()}
+    assert set(before.values()) == {"train", "val"} and len(after) == 40
+    assert all(after[i] == before[i % 20] for i in after)
+    assert splits.kept_components(spark, path)[1].agg(F.sum("records")).first()[0] == 140
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SAMPLES)
     targets = spark.createDataFrame(TARGETS, "split string, share double")
