@@ -24,12 +24,18 @@ PAIRS, HOT_PAIRS = 2_000_000, 4_000_000
 
 
 def file_key(path: Column | str) -> Column:
-    """What file a path names: percent encoding undone (up to three layers), lower case, forward slashes, `.`, `..` and empty
+    """What file a path names: every layer of percent encoding undone, lower case, forward slashes, `.`, `..` and empty
     steps resolved as of a relative path, image extension removed. `#n` after a Parquet shard is part of the name."""
     p = F.trim(F.col(path) if isinstance(path, str) else path)
-    for _ in range(3):
-        ready = F.regexp_replace(F.regexp_replace(p, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
-        p = F.when(p.rlike("%[0-9A-Fa-f]{2}"), F.coalesce(F.try_url_decode(ready), p)).otherwise(p)
+    escaped = "%[0-9A-Fa-f]{2}"
+
+    def decoded(c):
+        ready = F.regexp_replace(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+        return F.when(c.rlike(escaped), F.coalesce(F.try_url_decode(ready), c)).otherwise(c)
+
+    # Each layer is at least two characters shorter once undone, so there are at most half as many layers as characters.
+    layers = F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(p) / 2).cast("int")))
+    p = F.when(p.rlike(escaped), F.aggregate(layers, p, lambda acc, _: decoded(acc))).otherwise(p)
     p = F.lower(F.translate(p, "\\", "/"))
     steps = F.filter(F.split(p, "/"), lambda s: ~s.isin("", "."))
     walked = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))

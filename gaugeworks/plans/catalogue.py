@@ -380,6 +380,12 @@ def condition_expansion(spark, d):
     return e.select("sample_id", "ord", "tag", "transform", "level", S.condition_tag(F.col("transform"), F.col("level")).alias("name"))
 
 
+@query(with_(SAMPLES) + "select sample_id, s.split, c.ord, c.tag, c.transform, c.level, case when c.level is null then c.transform else c.transform || '_' || c.level end as name from s, conditions c where s.split in ('val', 'alt_real', 'test')")
+def condition_expansion_evaluation(spark, d):
+    e = grids.expand_conditions(T.samples(spark, d).filter(F.col("split").isin("val", "alt_real", "test")).select("sample_id", "split"), T.table(spark, d, "conditions"))
+    return e.select("sample_id", "split", "ord", "tag", "transform", "level", S.condition_tag(F.col("transform"), F.col("level")).alias("name"))
+
+
 @query(with_(VECTORS) + """select vec_id, x.step as step, string_split(x.item, ':')[1] as family, try_cast(string_split(x.item, ':')[2] as double) as level
 from (select vec_id, unnest(list_transform(range(1, len(items) + 1), lambda i: {'step': i, 'item': items[i]})) as x from (select vec_id, list_filter(string_split(plans, '|'), lambda x: x <> '') as items from v))""")
 def plan_strings(spark, d):

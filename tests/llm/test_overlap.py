@@ -27,6 +27,12 @@ def test_spellings_of_one_file(spark, path):
     assert spark.createDataFrame([(path,)], "path string").select(overlap.file_key("path")).first()[0] == "data/a/img_1"
 
 
+@pytest.mark.parametrize("layers", [4, 5, 12])
+def test_every_layer_of_encoding_is_undone(spark, layers):
+    path = "d%" + "25" * (layers - 1) + "61ta/a/100%/img_1.jpg"
+    assert spark.createDataFrame([(path,)], "path string").select(overlap.file_key("path")).first()[0] == "data/a/100%/img_1"
+
+
 def test_other_files(spark):
     paths = ["data/a/img_1.gif", "data/a/img_2.jpg", "s.parquet#12", "s.parquet#1", "100%.jpg", "a+b.jpg", "a b.jpg", None]
     keys = [r[0] for r in spark.createDataFrame([(p,) for p in paths], "path string").select(overlap.file_key("path")).collect()]

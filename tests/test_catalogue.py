@@ -64,3 +64,8 @@ def test_every_arm_has_its_curve(spark):
     for name in ("roc_curve_by_arm", "roc_vertices_by_arm", "operating_points_by_arm", "contact_sheet_order_by_arm"):
         assert {r.arm for r in catalogue.queries()[name](spark, FOLDER).select("arm").distinct().collect()} == arms, name
     assert catalogue.queries()["contact_sheet_order_by_arm"](spark, FOLDER).count() == scored.count()
+
+
+def test_every_evaluation_split_is_expanded(spark):
+    got = catalogue.queries()["condition_expansion_evaluation"](spark, FOLDER)
+    assert {r.split for r in got.select("split").distinct().collect()} == {"val", "alt_real", "test"}
