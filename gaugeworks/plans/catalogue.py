@@ -647,5 +647,5 @@ def head_sweep(spark, d):
 @query()
 def gate_probe(spark, d):
     """Which degradation a vector underwent: confusion on held-out pictures, normalised by row."""
-    p = models.probe(T.vectors(spark, d).select("tag", "path", "feats"), "tag", "path", iterations=20)
+    p = models.probe(T.vectors(spark, d).select("tag", "path", "feats"), "tag", "path")
     return _round(models.confusion(p, "tag"), "share")
