@@ -2,55 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def ship(module) -> None:
-    """Pickle the module's functions by value, so that executors need no copy of this package."""
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(module)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
-
-    Only where that setting is empty (single-machine tests) a temporary folder is used instead.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("gaugeworks.shared.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="gaugeworks-")
-        spark.conf.set("gaugeworks.shared.dir", folder)
-    return folder.rstrip("/")
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends here, and no executor has to survive."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gaugeworks/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)  # when the driver ends
-    out = spark.read.schema(schema).parquet(path)
-    out._saved_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of save() that nothing reads any more."""
-    path = getattr(df, "_saved_at", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+from ..shipping import ship  # noqa: F401
+from ..storage import discard, filesystem, save, shared_folder  # noqa: F401
 
 
 def plain(c: Column | str) -> Column:
