@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ MAX_BITS = 10
 HOT_BUCKET = 200_000
 #: Pairs compared at once, and pairs of one equal segment beyond which further digits must be near before they are compared.
 PAIRS, HOT_PAIRS = 2_000_000, 4_000_000
+#: Bytes of evaluation text in one full-text index, and training keys that are streamed through one copy of it.
+SHARD_BYTES, STREAM_ROWS = 16_000_000, 200_000
 
 
 def file_key(path: Column | str) -> Column:
@@ -43,77 +46,188 @@ def file_key(path: Column | str) -> Column:
     return F.regexp_replace(joined, r"\.(" + "|".join(IMAGE_EXTENSIONS) + r")$", "")
 
 
+def _grouped(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sorted array: where the group of equal values of each element starts, and whether it has others."""
+    fresh = np.r_[True, own[1:] != own[:-1]]
+    start = np.maximum.accumulate(np.where(fresh, np.arange(len(own)), 0))
+    return start, ~(fresh & np.r_[fresh[1:], True])
+
+
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Start positions of the sorted suffixes: by their first eight bytes, then prefix doubling of what is still equal."""
+    n = len(text)
+    wide = np.zeros(n + 8, dtype=np.uint64)
+    wide[:n] = text
+    key = np.zeros(n, dtype=np.uint64)
+    for j in range(8):
+        key = (key << np.uint64(8)) | wide[j : j + n]
+    order = np.argsort(key)
+    start, tied = _grouped(key[order])
+    rank = np.full(n + 1, -1, dtype=np.int64)
+    rank[order] = start
+    at, h = np.flatnonzero(tied), 8
+    while len(at):
+        pos = order[at]
+        both = rank[pos] * (n + 1) + rank[np.minimum(pos + h, n)] + 1
+        o = np.argsort(both)
+        order[at] = pos = pos[o]
+        start, tied = _grouped(both[o])
+        rank[pos] = at[start]
+        at, h = at[tied], 2 * h
+    return order
+
+
 class TextIndex:
-    """A full-text index of keys for backward search: the Burrows-Wheeler transform of their concatenation, kept as the
-    increasing positions of each byte (4 bytes each)."""
+    """A compressed full-text index of distinct keys, for backward search.
+
+    The text is the sorted keys, a separator before and after each. Its Burrows-Wheeler transform is a wavelet matrix over
+    the bytes that occur: as many bits for each byte of text as their number needs, and a sampled rank for every 256 bits,
+    so that it is smaller than the text. Neither the text nor its suffix array is kept.
+    """
 
     def __init__(self, keys: list[bytes]):
-        text = np.frombuffer(b"\x01" + b"\x01".join(keys) + b"\x01\x00", dtype=np.uint8)
-        order = self._suffixes(text)
-        bwt = text[order - 1]
+        text = np.frombuffer(b"\x01" + b"\x01".join(sorted(keys)) + b"\x01\x00", dtype=np.uint8)
+        bwt = text[suffix_order(text) - 1]
+        self.bytes_, code = np.unique(bwt, return_inverse=True)
         self.n = len(text)
-        counts = np.bincount(text, minlength=256)
-        self.first = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
-        by_byte = np.argsort(bwt, kind="stable").astype(np.uint32)
-        ends = np.cumsum(np.bincount(bwt, minlength=256))
-        self.at = [by_byte[e - c : e] for e, c in zip(ends, np.bincount(bwt, minlength=256))]
-
-    @staticmethod
-    def _suffixes(text: np.ndarray) -> np.ndarray:
-        """Start positions of the sorted suffixes, by prefix doubling from eight bytes on."""
-        n = len(text)
-        wide = np.zeros(n + 8, dtype=np.uint64)
-        wide[:n] = text
-        key = np.zeros(n, dtype=np.uint64)
-        for j in range(8):
-            key = (key << np.uint64(8)) | wide[j : j + n]
-        h = 8
-        while True:
-            order = np.argsort(key, kind="stable")
-            own = key[order]
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = np.cumsum(np.r_[0, own[1:] != own[:-1]])
-            if rank[order[-1]] == n - 1:
-                return order
-            then = np.zeros(n, dtype=np.int64)
-            then[: max(0, n - h)] = rank[h:] + 1
-            key = rank * (n + 1) + then
-            h *= 2
-
-    def search(self, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search of all patterns at once: occurrences of the whole pattern (0 if none), and the length of the
-        longest suffix of it that occurs (its maximal match)."""
-        length = np.fromiter(map(len, patterns), dtype=np.int64, count=len(patterns))
-        flat = np.frombuffer(b"".join(patterns), dtype=np.uint8)
-        end = np.cumsum(length)
+        self.levels = max(1, int(len(self.bytes_) - 1).bit_length())
+        words = -(-self.n // 256) * 4 + 4
+        self.bits, self.zeros = np.zeros((self.levels, words), dtype=np.uint64), np.zeros(self.levels, dtype=np.int64)
+        code = code.astype(np.uint8)
+        for level in range(self.levels):
+            bit = (code >> (self.levels - 1 - level)) & 1
+            packed = np.packbits(bit, bitorder="little")
+            self.bits[level].view(np.uint8)[: len(packed)] = packed
+            self.zeros[level] = self.n - int(bit.sum())
+            code = np.concatenate([code[bit == 0], code[bit == 1]])
+        counts = np.bincount(np.searchsorted(self.bytes_, text), minlength=len(self.bytes_))
+        self._finish(np.cumsum(counts) - counts)
+
+    def _finish(self, first: np.ndarray) -> None:
+        ones = np.bitwise_count(self.bits).astype(np.uint32).reshape(self.levels, -1, 4).sum(2, dtype=np.uint32)
+        self.ranks = (np.cumsum(ones, axis=1, dtype=np.uint32) - ones).astype(np.uint32)
+        self.first = first
+        self.code_of = np.full(256, -1, dtype=np.int64)
+        self.code_of[self.bytes_] = np.arange(len(self.bytes_))
+        every = np.arange(len(self.bytes_))
+        self.shift = first - self._descend(every, np.zeros(len(every), dtype=np.int64))
+
+    @property
+    def size(self) -> int:
+        return self.bits.nbytes + self.ranks.nbytes
+
+    def to_bytes(self) -> bytes:
+        head = np.array([self.n, self.levels, len(self.bytes_), self.bits.shape[1]], dtype=np.int64)
+        return b"".join(x.tobytes() for x in (head, self.zeros, self.first.astype(np.int64), self.bits, self.bytes_))
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> TextIndex:
+        self = cls.__new__(cls)
+        n, levels, kinds, words = np.frombuffer(blob, np.int64, 4).tolist()
+        self.n, self.levels, at = n, levels, 32
+        self.zeros = np.frombuffer(blob, np.int64, levels, at)
+        first = np.frombuffer(blob, np.int64, kinds, at := at + 8 * levels)
+        self.bits = np.frombuffer(blob, np.uint64, levels * words, at := at + 8 * kinds).reshape(levels, words)
+        self.bytes_ = np.frombuffer(blob, np.uint8, kinds, at + 8 * levels * words)
+        self._finish(first)
+        return self
+
+    def _rank(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Ones of a level before each position: a sampled rank and the bits since."""
+        row, word = self.bits[level], at >> 6
+        out = self.ranks[level][at >> 8].astype(np.int64)
+        for k in range(3):
+            more = np.flatnonzero((word & 3) > k)
+            out[more] += np.bitwise_count(row[(word[more] & ~3) + k])
+        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return out + np.bitwise_count(row[word] & low)
+
+    def _descend(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for level in range(self.levels):
+            ones = self._rank(level, at)
+            at = np.where((code >> (self.levels - 1 - level)) & 1 == 1, self.zeros[level] + ones, at - ones)
+        return at
+
+    def search(self, flat: np.ndarray, end: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward search of all patterns at once (bytes flat, each ending before `end`): the length of the maximal match
+        that ends with the pattern, and how often that match occurs in the text."""
         lo, hi = np.zeros(len(length), dtype=np.int64), np.full(len(length), self.n, dtype=np.int64)
         matched = np.zeros(len(length), dtype=np.int64)
-        live = np.flatnonzero(length > 0)
-        step = 0
+        live, step = np.flatnonzero(length > 0), 0
         while len(live):
-            byte = flat[end[live] - 1 - step]
-            new_lo, new_hi = np.empty(len(live), np.int64), np.empty(len(live), np.int64)
-            for c in np.unique(byte):
-                own = byte == c
-                new_lo[own] = self.first[c] + np.searchsorted(self.at[c], lo[live[own]])
-                new_hi[own] = self.first[c] + np.searchsorted(self.at[c], hi[live[own]])
-            found = new_hi > new_lo
+            code = self.code_of[flat[end[live] - 1 - step]]
+            live, code = live[code >= 0], code[code >= 0]
+            both = self._descend(np.r_[code, code], np.r_[lo[live], hi[live]]) + np.r_[self.shift[code], self.shift[code]]
+            a, b = both[: len(live)], both[len(live) :]
+            found = b > a
             live = live[found]
-            lo[live], hi[live] = new_lo[found], new_hi[found]
+            lo[live], hi[live] = a[found], b[found]
             step += 1
             matched[live] = step
             live = live[length[live] > step]
-        return np.where(matched == length, hi - lo, 0), matched
-
-
-def _match_keys(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Training keys (right) that are whole keys of the evaluation shard (left)."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"key": pd.Series([], dtype=object)})
-    index = TextIndex([k.encode() for k in left["key"]])
-    keys = right["key"].tolist()
-    hits, _ = index.search([b"\x01" + k.encode() + b"\x01" for k in keys])
-    return pd.DataFrame({"key": pd.Series([k for k, h in zip(keys, hits) if h], dtype=object)})
+        return matched, np.where(matched > 0, hi - lo, 0)
+
+
+def _escaped(k: bytes) -> bytes:
+    """The separators' bytes never stand inside a key."""
+    return k.replace(b"\x02", b"\x02\x05").replace(b"\x01", b"\x02\x04").replace(b"\x00", b"\x02\x03")
+
+
+def _build(table: pa.Table) -> pa.Table:
+    keys = [_escaped(k) for k in table.column("key").to_pylist()]
+    return pa.table({"shard": table.column("shard").slice(0, 1), "index": pa.array([TextIndex(keys).to_bytes()], pa.binary())})
+
+
+def _patterns(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys with a separator before and after each, as search() takes them."""
+    keys = [b"\x01" + _escaped(k) + b"\x01" for k in keys]
+    length = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
+    return np.frombuffer(b"".join(keys), dtype=np.uint8), np.cumsum(length), length
+
+
+def _stream(batches):
+    """Rows sorted by shard and turn: an index (turn 0), then the training keys that are streamed through it. A key is kept
+    if its maximal match spans all of it, with both separators."""
+    index = None
+    for b in batches:
+        turn = b.column("turn").to_numpy(zero_copy_only=False)
+        cuts = [*np.flatnonzero(turn == 0).tolist(), len(turn)]
+        at = 0
+        for cut in cuts:
+            if cut > at and index is not None:
+                part = b.slice(at, cut - at)
+                keys = part.column("data")
+                flat, end, length = _patterns(keys.to_pylist())
+                matched, times = index.search(flat, end, length)
+                own = pa.array(np.flatnonzero((matched == length) & (times > 0)))
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([part.column("item").take(own), keys.take(own).cast(pa.string())], names=["item", "key"])
+            if cut < len(turn):
+                blob = b.column("data")[cut].as_py()
+                index = TextIndex.from_bytes(blob) if blob else None
+            at = cut + 1
+
+
+def stream_through_index(keys: DataFrame, shard_bytes: int = SHARD_BYTES, rows_each: int = STREAM_ROWS) -> DataFrame:
+    """(item, key): training rows of (item, key, train boolean) whose key is a whole key of the evaluation side.
+
+    The distinct evaluation keys become compressed full-text indexes of about shard_bytes of text each; one holds them all
+    unless they are more. The training keys are streamed past an index by backward search, about rows_each for each copy
+    of it; their maximal matches are kept where they span a whole key. Neither distinct training keys nor groups of
+    equal ones are ever gathered. Of several indexes a key meets the one that its hash names.
+    """
+    held = save(keys.filter("not train").groupBy("key").agg(F.count(F.lit(1)).alias("records")), "held-keys")
+    size, n = held.agg(F.sum(F.octet_length("key") + 1)).first()[0] or 0, keys.filter("train").count()
+    shards = max(1, -(-size // shard_bytes))
+    copies = max(1, -(-n // (shards * rows_each)))
+    shard = lambda: F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+    index = held.select(shard(), F.col("key").cast("binary").alias("key")).groupBy("shard").applyInArrow(_build, "shard int, index binary")
+    index = save(index, "index")
+    turns = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")
+    rows = index.select("shard", turns, F.lit(0).alias("turn"), F.lit(None).cast("long").alias("item"), F.col("index").alias("data"))
+    asked = keys.filter("train").select(shard(), F.pmod(F.xxhash64("item"), F.lit(copies)).cast("int").alias("copy"), F.lit(1).alias("turn"), "item", F.col("key").cast("binary").alias("data"))
+    ordered = rows.unionByName(asked).repartition(shards * copies, "shard", "copy").sortWithinPartitions("shard", "copy", "turn")
+    return ordered.select("turn", "item", "data").mapInArrow(_stream, "item bigint, key string")
 
 
 def _own(df: DataFrame, train: bool) -> DataFrame:
@@ -123,21 +237,6 @@ def _own(df: DataFrame, train: bool) -> DataFrame:
     return df
 
 
-def shared_keys(keys: DataFrame, keys_each: int = 40_000) -> DataFrame:
-    """(key): keys that stand on both sides of (key, train boolean).
-
-    Distinct keys are hashed into shards. The evaluation keys of a shard become a full-text index, and the training keys
-    of the same hash are streamed through it by backward search; a key counts if its maximal match spans all of it, with
-    the separators before and after.
-    """
-    keys = save(keys.filter("key is not null").distinct(), "keys")
-    n = keys.groupBy("train").count().collect()
-    shards = max([1, *(-(-r["count"] // (keys_each * (3 if r["train"] else 1))) for r in n)])
-    keys = keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    side = lambda t: _own(keys.filter(F.col("train") == t).select("shard", "key"), t).groupBy("shard")
-    return side(False).cogroup(side(True)).applyInPandas(_match_keys, "key string")
-
-
 def _words(hashes) -> tuple[np.ndarray, np.ndarray]:
     both = np.frombuffer(b"".join(hashes), dtype=">u8").astype(np.uint64).reshape(-1, 2)
     return both[:, 0], both[:, 1]
@@ -278,6 +377,22 @@ def near_phashes(hashes: DataFrame, rows_each: int = 150_000) -> DataFrame:
     return near.select(F.lower(F.hex("eval_hash")).alias("eval_hash"), F.lower(F.hex("train_hash")).alias("train_hash"), "bits")
 
 
+def _matches(samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, keyed, exact, near): records with their keys and hashes, (item, train, key), the training rows of keyed that
+    match, and near pairs of hashes."""
+    phash = F.lower(F.trim("phash"))
+    rows = samples.filter("sample_id is not null and split is not null").select(
+        F.col("sample_id").cast("long").alias("item"), (plain("split") == "train").alias("train"), F.concat(F.lit("p:"), file_key("path")).alias("file"), F.concat(F.lit("h:"), F.lower(F.trim("content_hash"))).alias("pixels"),
+        F.when(phash.rlike("^[0-9a-f]{32}$") & ~phash.rlike("^0+$"), phash).alias("phash"))
+    rows = save(rows.distinct(), "records")
+    keyed = rows.select("item", "train", F.explode(F.array("file", "pixels")).alias("key")).filter("key is not null")
+    exact = save(stream_through_index(keyed), "matches")
+    return rows, keyed, exact, near_phashes(rows.select("phash", "train"))
+
+
+_KINDS = ("same_file", "same_pixels", "near_picture")
+
+
 def cross_split_pairs(samples: DataFrame) -> DataFrame:
     """(train_id, other_id, same_file, same_pixels, near_picture): records of the training split and of another split that
     show the same picture, by path, content hash or perceptual hash (at most 10 of 128 bits apart).
@@ -288,31 +403,31 @@ def cross_split_pairs(samples: DataFrame) -> DataFrame:
     count once. Keys and hashes are made distinct before they are compared, so a group of copies is compared once; its
     pairs are written out only where both sides have it.
     """
-    phash = F.lower(F.trim("phash"))
-    rows = samples.filter("sample_id is not null and split is not null").select(
-        F.col("sample_id").cast("long").alias("item"), (plain("split") == "train").alias("train"), F.concat(F.lit("p:"), file_key("path")).alias("file"), F.concat(F.lit("h:"), F.lower(F.trim("content_hash"))).alias("pixels"),
-        F.when(phash.rlike("^[0-9a-f]{32}$") & ~phash.rlike("^0+$"), phash).alias("phash"))
-    rows = save(rows.distinct(), "records")
-    keyed = rows.select("item", "train", F.explode(F.array("file", "pixels")).alias("key")).filter("key is not null")
-    both = keyed.join(shared_keys(keyed.select("key", "train")), "key")
-    t = both.filter("train").select("key", F.col("item").alias("train_id"))
-    o = both.filter("not train").select("key", F.col("item").alias("other_id"))
+    rows, keyed, exact, near = _matches(samples)
+    t = exact.select("key", F.col("item").alias("train_id"))
+    o = keyed.filter("not train").select("key", F.col("item").alias("other_id"))
     exact = t.join(o, "key").select("train_id", "other_id", F.col("key").startswith("p:").alias("same_file"), F.col("key").startswith("h:").alias("same_pixels"), F.lit(False).alias("near_picture"))
-    near = near_phashes(rows.select("phash", "train"))
     pictured = rows.filter("phash is not null")
     near = near.join(pictured.filter("train").select(F.col("phash").alias("train_hash"), F.col("item").alias("train_id")), "train_hash").join(pictured.filter("not train").select(F.col("phash").alias("eval_hash"), F.col("item").alias("other_id")), "eval_hash")
     pairs = exact.unionByName(near.select("train_id", "other_id", F.lit(False).alias("same_file"), F.lit(False).alias("same_pixels"), F.lit(True).alias("near_picture")))
-    return pairs.groupBy("train_id", "other_id").agg(*[F.max(c).alias(c) for c in ("same_file", "same_pixels", "near_picture")])
+    return pairs.groupBy("train_id", "other_id").agg(*[F.max(c).alias(c) for c in _KINDS])
 
 
 def overlap_report(samples: DataFrame) -> DataFrame:
-    """Per split other than train and per source: records, and those whose picture stands in the training split, by kind."""
-    pairs = cross_split_pairs(samples)
-    per = pairs.groupBy("other_id").agg(*[F.max(c).alias(c) for c in ("same_file", "same_pixels", "near_picture")])
-    rows = samples.filter("sample_id is not null and split is not null").select(F.col("sample_id").cast("long").alias("other_id"), plain("split").alias("split"), plain("source").alias("source")).filter("split <> 'train'").distinct()
+    """Per split other than train and per source: records, and those whose picture stands in the training split, by kind.
+
+    Evaluation records are marked by the keys and hashes that matched; their pairs are never written out.
+    """
+    rows, keyed, exact, near = _matches(samples)
+    held = keyed.filter("not train").select("item", "key").join(exact.select("key").distinct(), "key")
+    marked = held.select(F.col("item").alias("other_id"), F.col("key").startswith("p:").alias("same_file"), F.col("key").startswith("h:").alias("same_pixels"), F.lit(False).alias("near_picture"))
+    alike = rows.filter("not train").select("item", F.col("phash").alias("eval_hash")).join(near.select("eval_hash").distinct(), "eval_hash")
+    marked = marked.unionByName(alike.select(F.col("item").alias("other_id"), F.lit(False).alias("same_file"), F.lit(False).alias("same_pixels"), F.lit(True).alias("near_picture")))
+    per = marked.groupBy("other_id").agg(*[F.max(c).alias(c) for c in _KINDS])
+    all_rows = samples.filter("sample_id is not null and split is not null").select(F.col("sample_id").cast("long").alias("other_id"), plain("split").alias("split"), plain("source").alias("source")).filter("split <> 'train'").distinct()
     number = lambda c: F.sum(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c)
-    joined = rows.join(per, "other_id", "left").withColumn("overlapping", F.col("near_picture").isNotNull())
-    return joined.groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), number("overlapping"), number("same_file"), number("same_pixels"), number("near_picture"))
+    joined = all_rows.join(per, "other_id", "left").withColumn("overlapping", F.col("near_picture").isNotNull())
+    return joined.groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), number("overlapping"), *[number(c) for c in _KINDS])
 
 
 ship(sys.modules[__name__])

@@ -152,12 +152,13 @@ _PATH = rf"regexp_replace(regexp_replace(regexp_replace({_PATH}, '/+', '/', 'g')
 for _ in range(3):
     _PATH = _STEP.format(_PATH)
 _PATH = rf"regexp_replace({_PATH}, '\.({'|'.join(overlap.IMAGE_EXTENSIONS)})$', '')"
-_P3 = f"""
+_P3_ROWS = f"""
 with r as (
   select distinct sample_id, {_plain('split')} = 'train' as train, {_PATH} as file, lower(content_hash) as pixels,
     case when lower(phash) <> repeat('0', 32) then ('0x' || substr(phash, 1, 16))::ubigint end as hi,
     case when lower(phash) <> repeat('0', 32) then ('0x' || substr(phash, 17, 16))::ubigint end as lo
-  from samples where split is not null),
+  from samples where split is not null)"""
+_P3 = _P3_ROWS + f""",
 pairs as (
   select t.sample_id as a, o.sample_id as b from r t join r o on t.train and not o.train and t.file = o.file
   union select t.sample_id, o.sample_id from r t join r o on t.train and not o.train and t.pixels = o.pixels
@@ -166,6 +167,18 @@ pairs as (
 select distinct least(a, b) as id_a, greatest(a, b) as id_b from pairs
 """
 
+_P3_REPORT = _P3_ROWS + f""",
+marks as (
+  select o.sample_id, true as f, false as p, false as n from r o where not o.train and o.file in (select file from r where train)
+  union all select o.sample_id, false, true, false from r o where not o.train and o.pixels in (select pixels from r where train)
+  union all select o.sample_id, false, false, true from r t join r o on t.train and not o.train and t.hi is not null and o.hi is not null
+    and bit_count(xor(t.hi, o.hi)) + bit_count(xor(t.lo, o.lo)) <= {overlap.MAX_BITS}),
+per as (select sample_id, bool_or(f) as f, bool_or(p) as p, bool_or(n) as n from marks group by sample_id),
+held as (select distinct sample_id, {_plain('split')} as split, {_plain('source')} as source from samples where split is not null and sample_id is not null)
+select h.split, h.source, count(*) as records, count(per.sample_id) as overlapping, count(*) filter (f) as same_file, count(*) filter (p) as same_pixels, count(*) filter (n) as near_picture
+from held h left join per using (sample_id) where h.split <> 'train' group by h.split, h.source
+"""
+
 _P4 = r"""
 with c as (select distinct on (lower(transform), try_cast(level as double)) lower(transform) as t, try_cast(level as double) as l, tag from conditions),
 e as (
@@ -219,5 +232,5 @@ def oracle_sql():
         "p2_found": _P2,
         "p1_found": _P1, "p3_found": _P3, "p4_found": _P4 + "select distinct err_id from k where rank <= 5",
         "p4_top_errors": _P4 + "select arm, condition, label, err_id, path, score, rank::int as rank from k where rank <= 5",
-        "p5_found": _P5, "p6_found": _P6, "p7_found": _P7,
+        "p3_report": _P3_REPORT, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7,
     }

@@ -12,14 +12,44 @@ SAMPLES = "sample_id bigint, path string, split string, content_hash string, pha
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.binary(min_size=1, max_size=9).map(lambda b: bytes(2 + x % 3 for x in b)), min_size=1, max_size=30), st.lists(st.binary(max_size=6).map(lambda b: bytes(2 + x % 3 for x in b)), max_size=20))
+@given(st.sets(st.binary(min_size=1, max_size=9).map(lambda b: bytes(3 + x % 3 for x in b)), min_size=1, max_size=30), st.lists(st.binary(max_size=6).map(lambda b: bytes(1 + x % 5 for x in b)), max_size=20))
 def test_backward_search_counts_and_maximal_matches(keys, patterns):
-    text = b"\x01" + b"\x01".join(keys) + b"\x01\x00"
-    hits, matched = overlap.TextIndex(keys).search(patterns)
-    for p, h, m in zip(patterns, hits, matched):
-        assert h == (sum(text.startswith(p, i) for i in range(len(text))) if p else len(text))
+    text = b"\x01" + b"\x01".join(sorted(keys)) + b"\x01\x00"
+    length = np.array([len(p) for p in patterns], dtype=np.int64)
+    index = overlap.TextIndex.from_bytes(overlap.TextIndex(list(keys)).to_bytes())
+    matched, times = index.search(np.frombuffer(b"".join(patterns), np.uint8), np.cumsum(length), length)
+    for p, m, n in zip(patterns, matched, times):
         longest = max(n for n in range(len(p) + 1) if p[len(p) - n :] in text)
         assert m == longest
+        assert n == (sum(text.startswith(p[len(p) - m :], i) for i in range(len(text))) if m else 0)
+
+
+def test_suffixes_of_repetitive_text():
+    rng = random.Random(2)
+    for text in (b"ab" * 400, b"a" * 300, bytes(rng.choice(b"xyz") for _ in range(2000)), b"q"):
+        order = overlap.suffix_order(np.frombuffer(text + b"\x00", np.uint8))
+        assert order.tolist() == sorted(range(len(text) + 1), key=lambda i: text[i:] + b"\x00")
+
+
+def test_index_is_smaller_than_its_text():
+    rng = random.Random(1)
+    keys = [f"p:data/wild/images/{rng.choice(['real', 'fake'])}/img_{i:09d}".encode() for i in range(20_000)] + [f"h:{rng.getrandbits(160):040x}".encode() for _ in range(20_000)]
+    index = overlap.TextIndex(keys)
+    assert index.size < 0.9 * sum(len(k) + 1 for k in keys)
+    asked = [*keys[::100], *(k + b"0" for k in keys[::100]), *(k[:-1] for k in keys[::100])]
+    flat, end, length = overlap._patterns(asked)
+    matched, times = index.search(flat, end, length)
+    assert ((matched == length) & (times == 1)).tolist() == [True] * 400 + [False] * 800
+
+
+@pytest.mark.parametrize("shard_bytes,rows_each", [(16_000_000, 200_000), (300, 40)])
+def test_streamed_keys_are_those_of_the_other_side(spark, shard_bytes, rows_each):
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("ab\x01\x02/é") for _ in range(rng.randrange(6)))
+    rows = [(i, name(), i % 3 > 0) for i in range(900)]
+    held = {k for _, k, t in rows if not t}
+    got = overlap.stream_through_index(spark.createDataFrame(rows, "item bigint, key string, train boolean"), shard_bytes, rows_each).collect()
+    assert sorted((r.item, r.key) for r in got) == sorted((i, k) for i, k, t in rows if t and k in held)
 
 
 @pytest.mark.parametrize("path", ["data/a/IMG_1.jpg", "./data/a/img_1.PNG", ".//data//a/./img_1.webp", "DATA\\A\\IMG_1.JPEG", "d%61ta/x/../a/img%5F1.bmp", "/data/a/img_1.jpg", "d%2561ta/a/img_1.jpg", "../data/a/img_1.jpg"])
