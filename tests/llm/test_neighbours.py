@@ -79,3 +79,35 @@ def test_few_and_none(spark):
     assert neighbours.nearest(_frame(spark, np.ones((1, 16))), 3, dim=16).count() == 0
     two = neighbours.nearest(_frame(spark, np.eye(16)[:2]), 3, dim=16).collect()
     assert {(r.a, r.b) for r in two} == {(0, 1), (1, 0)}
+
+
+def test_many_lists_in_two_levels(spark):
+    x = _clusters(6000)
+    got = neighbours.nearest(_frame(spark, x), 10, dim=16, list_rows=64, members=3, probes=6, member_ratio=1.4, probe_ratio=1.6, spread=0.0, max_centroids=12).collect()
+    true = _truth(x, 10)
+    assert sum(r.b in true[r.a] for r in got) / 60_000 >= 0.9
+    assert {r.a for r in got} == set(range(6000)) and all(r.a != r.b for r in got)
+
+
+def test_dense_lists_in_tiles_lose_nothing(spark, monkeypatch):
+    x = np.r_[_clusters(300, seed=1), _clusters(1, seed=2) + 0.05 * np.random.default_rng(3).normal(size=(900, 16))]  # a dense ball
+    rows = lambda: {(r.a, r.b) for r in neighbours.nearest(_frame(spark, x), 5, dim=16, list_rows=400, members=2, probes=3, spread=0.0, member_ratio=1.3, probe_ratio=1.5).collect()}
+    whole = rows()
+    monkeypatch.setattr(neighbours, "DENSE", 0.2)
+    assert rows() == whole
+
+
+def test_cosines_are_those_of_the_vectors(spark):
+    x = _clusters(400, seed=6).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    for r in neighbours.nearest(_frame(spark, x), 4, dim=16).collect():
+        assert abs(r.cosine - u[r.a] @ u[r.b]) < 1e-6
+    base = np.zeros((40, 16), np.float32)
+    base[:, 0], base[:, 1] = 1, 0
+    base[1:, 1] = np.tan(np.arccos(0.9 + np.linspace(-2e-5, 2e-5, 39)))  # the bound passes between them
+    base[1:, 2:] = 0
+    got = {(r.a, r.b) for r in neighbours.nearest(_frame(spark, base), 39, dim=16, min_cosine=0.9).collect()}
+    v = base.astype(np.float64) / np.linalg.norm(base.astype(np.float64), axis=1, keepdims=True)
+    for i in range(1, 40):
+        if abs(v[0] @ v[i] - 0.9) > 1e-7:
+            assert ((0, i) in got) == (v[0] @ v[i] >= 0.9)
