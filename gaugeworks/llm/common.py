@@ -29,14 +29,14 @@ def hash_buckets(n: int, rows_each: int) -> int:
     return max(0, (max(1, n) // max(1, rows_each)).bit_length())
 
 
-def prefix_sums(df: DataFrame, group: str, key: Column, size: str, n: int, rows_each: int = 100_000) -> DataFrame:
+def prefix_sums(df: DataFrame, group: str, key: Column, size: str, n: int, rows_each: int = 100_000, ties: tuple[str, ...] = ()) -> DataFrame:
     """Add `upto`, the sum of `size` over the rows of the same group up to and with this row, in the order of a hash.
 
     key is a 64-bit hash. Its leading bits cut every group into ranges of about equal number of rows, which are the
     partitions of a range sort without sampling; a hot group thus spreads over all of them. Ranges are summed first
     (with map-side combine) and only the few range sums pass through an ordered window per group.
-    Adds the columns _key and _range as well. Rows with equal keys follow each other in an arbitrary but fixed order
-    only if `key` is unique; pass a hash of a unique column.
+    Adds the columns _key and _range as well. Rows with equal keys follow each other by the columns `ties`, which should
+    make the order strict.
     """
     bits = hash_buckets(n, rows_each)
     ranged = df.withColumn("_key", key)
@@ -44,6 +44,6 @@ def prefix_sums(df: DataFrame, group: str, key: Column, size: str, n: int, rows_
     sums = ranged.groupBy(group, "_range").agg(F.sum(size).alias("_sum"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(group, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(group, "_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(group, "_range").orderBy("_key", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranged = ranged.withColumn("_inside", F.sum(size).over(inside))
     return ranged.join(sums, [group, "_range"]).withColumn("upto", F.col("_before") + F.col("_inside")).drop("_before", "_inside")

@@ -15,32 +15,27 @@ from .common import plain, save, ship, small_rows
 MAX_TARGETS = 100_000
 
 
-def calibrate(counts: np.ndarray, member: np.ndarray | None, targets: np.ndarray, rate: float, tol: float = 1e-9, rounds: int = 100) -> np.ndarray:
+def calibrate(counts: np.ndarray, member: np.ndarray, targets: np.ndarray, rate: float | np.ndarray, tol: float = 1e-9, rounds: int = 100) -> np.ndarray:
     """Inclusion probability of each cell: min(1, rate * exp(member' lambda)), meeting member @ (counts * p) = targets.
 
     Newton iterations on the dual of exponential tilting. counts: records in each cell (the moments, aggregated before).
-    member: constraints x cells, 0 or 1; None where each cell is a constraint of its own. targets: what each constraint must sum to, at most what its cells hold. rate:
-    the probability before tilting. A cell that reaches 1 drops out of the derivative; steps are halved while they
+    member: constraints x cells, 0 or 1. targets: what each constraint must sum to, at most what its cells hold. rate:
+    the probability before tilting, of all cells or of each. A cell that reaches 1 drops out of the derivative; steps are halved while they
     worsen the residual.
     """
     lam = np.zeros(len(targets))
-    up = (lambda x: x) if member is None else (lambda x: member.T @ x)
-    down = (lambda x: x) if member is None else (lambda x: member @ x)
-    p_of = lambda x: np.minimum(1.0, rate * np.exp(np.clip(up(x), -700, 700)))
-    miss_of = lambda p: down(counts * p) - targets
+    p_of = lambda x: np.minimum(1.0, rate * np.exp(np.clip(member.T @ x, -700, 700)))
+    miss_of = lambda p: member @ (counts * p) - targets
     p = p_of(lam)
     for _ in range(rounds):
         miss = miss_of(p)
         if np.all(np.abs(miss) <= tol * np.maximum(1.0, targets)):
             break
         weight = counts * np.where(p < 1, p, 0.0)
-        if member is None:  # the Hessian is diagonal
-            step = miss / np.maximum(weight, 1e-12)
-        else:
-            hess = (member * weight) @ member.T
-            step = np.linalg.lstsq(hess + 1e-12 * np.eye(len(lam)), miss, rcond=None)[0]
+        hess = (member * weight) @ member.T
+        step = np.linalg.lstsq(hess + 1e-12 * np.eye(len(lam)), miss, rcond=None)[0]
         step = np.clip(step, -20, 20)
-        scale = np.ones(len(lam)) if len(lam) else np.ones(0)
+        scale = np.ones(len(lam))
         for _ in range(40):
             new = lam - scale * step
             gone = np.abs(miss_of(p_of(new))) > np.abs(miss)
@@ -49,19 +44,46 @@ def calibrate(counts: np.ndarray, member: np.ndarray | None, targets: np.ndarray
             scale = np.where(gone, scale / 2, scale)
         lam = new
         p = p_of(lam)
-    return p if member is not None else np.where(targets >= counts, 1.0, p)  # a full category leaves no duel to chance
+    return p
+
+
+def aims(available: np.ndarray, share: np.ndarray, floor: np.ndarray, size: float) -> np.ndarray:
+    """Records to draw of each cell, `size` in all where the records allow: floors are kept, cells that hold too few are
+    taken whole, and the others share what is left in proportion to `share`.
+
+    The total is one constraint over the cells that are neither at their floor nor exhausted. Newton iterations on the
+    dual give the tilt of their design probabilities (share x size / records); cells that the tilt pushes below their floor
+    are fixed there and the others calibrated anew.
+    """
+    most = available.astype(np.float64)
+    low = np.minimum(most, floor)
+    goal = low.copy()
+    free = (share > 0) & (most > 0)
+    while free.any():
+        left = min(size - goal[~free].sum(), most[free].sum())
+        if left <= low[free].sum():
+            goal[free] = low[free]
+            break
+        rate = np.minimum(1e6, share[free] * size / most[free])
+        got = most[free] * calibrate(most[free], np.ones((1, int(free.sum()))), np.array([left]), rate)
+        goal[free] = got
+        under = np.zeros(len(free), dtype=bool)
+        under[free] = got < low[free] - 1e-9
+        if not under.any():
+            break
+        goal[under], free = low[under], free & ~under
+    return goal
 
 
-def pivotal(cell: np.ndarray, p: np.ndarray, luck: np.ndarray) -> np.ndarray:
+def pivotal(cell: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """The pivotal method within each cell: probabilities after duels, at most one of each cell not 0 or 1.
 
     cell: sorted. In each round neighbours of a cell meet: of two with p1 + p2 < 1 one takes the sum and the other 0; else
     one becomes 1 and the other keeps p1 + p2 - 1. Expected values never change, and the sum of a cell stays fixed.
-    luck: a uniform number for each unit; mixed anew in each round.
+    rng: where the luck of each duel comes from.
     """
     p = p.astype(np.float64).copy()
     live = np.flatnonzero((p > 1e-12) & (p < 1 - 1e-12))
-    turn = 0
     while len(live) > 1:
         c = cell[live]
         start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
@@ -70,8 +92,7 @@ def pivotal(cell: np.ndarray, p: np.ndarray, luck: np.ndarray) -> np.ndarray:
         if not len(left):
             break
         a, b = live[left], live[left + 1]
-        turn += 1
-        u = (luck[a] * (1 + turn * 0.6180339887498949) + luck[b] * 7919.0 + turn * 0.7548776662466927) % 1.0
+        u = rng.random(len(a))
         pa_, pb_ = p[a], p[b]
         total = pa_ + pb_
         small = total < 1
@@ -84,8 +105,9 @@ def pivotal(cell: np.ndarray, p: np.ndarray, luck: np.ndarray) -> np.ndarray:
     return p
 
 
-def _luck(h: pd.Series | np.ndarray) -> np.ndarray:
-    return (np.asarray(h, dtype=np.int64).view(np.uint64) >> np.uint64(11)).astype(np.float64) / 2.0**53
+def _luck(h: pd.Series) -> np.random.Generator:
+    """Random numbers that depend on which units meet, not on their order of arrival."""
+    return np.random.default_rng(np.bitwise_xor.reduce(np.asarray(h, dtype=np.int64).view(np.uint64)))
 
 
 def _duel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -97,10 +119,10 @@ def _duel(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _final(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Duels among what the buckets left undecided in one draw and category; a last undecided unit is taken by its luck."""
+    """Duels among what the buckets left undecided in one draw and category; a last undecided unit is drawn by its p."""
     pdf = _duel(pdf)
     rest = (pdf["p"] < 1).to_numpy()
-    taken = ~rest | (_luck(pdf["h"]) * 104729.0 % 1.0 < pdf["p"].to_numpy())
+    taken = ~rest | (_luck(pdf["h"] ^ 0x5DEECE66D).random(len(pdf)) < pdf["p"].to_numpy())
     return pdf[taken].assign(p=1.0)
 
 
@@ -111,13 +133,14 @@ def draw(records: DataFrame, targets: DataFrame, seed: int = 0, rows_each: int =
     """Draw, for every draw_id, records of each category (source, label) in the given proportions.
 
     records: (item bigint, source, label). targets: (draw_id, source, label, share, min_rows, n_rows). A category's goal
-    is the greater of share x n_rows and min_rows (the floor). What can be met of it is calibrated: category counts are
-    aggregated in one pass, Newton iterations on them give inclusion probabilities, and the pivotal method draws with
-    these, first within hash buckets of records, then among the one undecided unit that each bucket leaves of a category.
-    A category thus gets its goal rounded up or down. Where the goal exceeds the records, all of them are drawn.
+    is the greater of share x n_rows and min_rows (the floor). Its aim is what is drawn of it: category counts are
+    aggregated in one pass and calibrated (`aims`), so that a draw has n_rows records where there are as many: floors are
+    kept, short categories are taken whole, and the others make up for both in proportion to their shares. Aims over
+    records are inclusion probabilities, with which the pivotal method draws, first within hash buckets of records,
+    then among the one undecided unit that each bucket leaves of a category. A category thus gets its aim rounded up or down.
 
     Returns (sample, report). sample: (draw_id, source, label, item), distinct. report: a row for each target with goal,
-    available, drawn and gap (goal - available where positive, else 0).
+    aim, available, drawn and gap (goal - available where positive, else 0).
     Labels above 1 count as 1. Records with null source or label belong to no category; letter case and white space of
     source never matter; repeated rows of an item count once. A null share or min_rows counts as 0. The same seed gives the
     same sample. Columns other than those named take no part.
@@ -125,25 +148,28 @@ def draw(records: DataFrame, targets: DataFrame, seed: int = 0, rows_each: int =
     label = lambda c: F.when(F.col(c) > 1, 1).otherwise(F.col(c)).cast("int")
     units = records.select(F.col("item").cast("long").alias("item"), plain("source").alias("source"), label("label").alias("label")).filter("item is not null and source is not null and label is not null")
     zero = F.lit(0.0)
-    goals = targets.select(F.col("draw_id").cast("int").alias("draw_id"), plain("source").alias("source"), label("label").alias("label"), F.greatest(F.coalesce(F.col("share") * F.col("n_rows"), zero), F.coalesce(F.col("min_rows").cast("double"), zero)).alias("goal"))
+    goals = targets.select(F.col("draw_id").cast("int").alias("draw_id"), plain("source").alias("source"), label("label").alias("label"), F.greatest(F.coalesce("share", zero), zero).alias("share"), F.greatest(F.coalesce(F.col("min_rows").cast("double"), zero), zero).alias("floor"), F.greatest(F.coalesce(F.col("n_rows").cast("double"), zero), zero).alias("n_rows"))
+    goals = goals.withColumn("goal", F.greatest(F.col("share") * F.col("n_rows"), F.col("floor")))
     wanted = goals.filter("source is not null and label is not null").select("source", "label").distinct()
     used = units.join(wanted, ["source", "label"], "left_semi")
     counts = used.distinct().groupBy("source", "label").agg(F.count(F.lit(1)).alias("available"))
     table = goals.join(counts, ["source", "label"], "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
-    rows = small_rows(table.select("draw_id", "source", "label", "goal", "available"), MAX_TARGETS, "targets")
+    rows = small_rows(table.select("draw_id", "source", "label", "share", "floor", "n_rows", "goal", "available"), MAX_TARGETS, "targets")
     spark = records.sparkSession
 
-    cells = []
+    cells, told, expected = [], [], 0.0
     for d in sorted({r.draw_id for r in rows if r.draw_id is not None}):
-        own = [r for r in rows if r.draw_id == d and r.available > 0]
-        if own:
-            n = np.array([r.available for r in own], dtype=float)
-            goal = np.minimum(n, np.array([r.goal for r in own]))
-            p = calibrate(n, None, goal, max(1e-12, min(1.0, goal.sum() / n.sum())))
-            cells += [(d, r.source, r.label, float(min(1.0, x))) for r, x in zip(own, p)]
+        own = [r for r in rows if r.draw_id == d]
+        aim = aims(np.array([r.available for r in own]), np.array([r.share for r in own]), np.array([r.floor for r in own]), max(r.n_rows for r in own))
+        for r, x in zip(own, aim):
+            told.append((d, r.source, r.label, r.goal, float(x), r.available))
+            if x > 0:
+                p = min(1.0, x / r.available)
+                cells.append((d, r.source, r.label, float(1.0 if p > 1 - 1e-9 else p)))  # a full category leaves no duel to chance
+                expected += r.available
+    told += [(None, r.source, r.label, r.goal, 0.0, r.available) for r in rows if r.draw_id is None]
     probabilities = spark.createDataFrame(cells, "draw_id int, source string, label int, p double")
-    total = sum({(r.source, r.label): r.available for r in rows}.values())
-    buckets = max(1, -(-total // rows_each))
+    buckets = max(1, -(-int(expected) // rows_each))  # a unit for each record and draw
     ready = used.join(F.broadcast(probabilities), ["source", "label"])  # at most MAX_TARGETS rows
     ready = ready.select("draw_id", "source", "label", "item", "p", F.xxhash64(F.lit(seed), "draw_id", "item").alias("h"))
     # by a hash of the item: every bucket has its share of every category, however large the category
@@ -152,10 +178,9 @@ def draw(records: DataFrame, targets: DataFrame, seed: int = 0, rows_each: int =
     sample = save(fought.filter("p = 1").unionByName(last).select("draw_id", "source", "label", "item"), "sample")
 
     drawn = sample.groupBy("draw_id", "source", "label").agg(F.count(F.lit(1)).alias("drawn"))
-    report = spark.createDataFrame([tuple(r) for r in rows], "draw_id int, source string, label int, goal double, available bigint")
+    report = spark.createDataFrame(told, "draw_id int, source string, label int, goal double, aim double, available bigint")
     report = report.join(drawn, ["draw_id", "source", "label"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("long")))
-    # a shortage shows in the draw: everything was taken and the goal is still missed
-    return sample, report.withColumn("gap", F.when(F.col("drawn") == F.col("available"), F.greatest(F.lit(0.0), F.col("goal") - F.col("drawn"))).otherwise(0.0))
+    return sample, report.withColumn("gap", F.greatest(F.lit(0.0), F.col("goal") - F.col("available")))
 
 
 ship(sys.modules[__name__])

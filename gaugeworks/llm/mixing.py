@@ -26,8 +26,7 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 0, rows_each: int = 10
     """
     n = items.count()
     have = items.select("item", plain("source").alias("source"), F.col("tokens").cast("long").alias("tokens")).filter("source is not null and tokens > 0").distinct()
-    # a salted second hash keeps the order strict where two items share the first one
-    placed = save(prefix_sums(have, "source", F.xxhash64(F.lit(seed), "item"), "tokens", n, rows_each).select("item", "source", "tokens", "upto"), "mix-order")
+    placed = save(prefix_sums(have, "source", F.xxhash64(F.lit(seed), "item"), "tokens", n, rows_each, ("item", "tokens")).select("item", "source", "tokens", "upto"), "mix-order")
     totals = placed.groupBy("source").agg(F.max("upto").alias("available_tokens"))
 
     weight = F.greatest(F.coalesce(F.col("weight"), F.lit(0.0)), F.lit(0.0))

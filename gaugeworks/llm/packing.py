@@ -5,7 +5,8 @@ from __future__ import annotations
 import sys
 from bisect import bisect_left, insort
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,12 @@ from .common import save, ship, small_rows
 
 #: Specifications are a small table; more rows than this are an error.
 MAX_SPECS = 1000
+#: What becomes of a bin: emitted, goes on as one item, goes on as its items (nothing that is left could enter it).
+FULL, OPEN, STUCK = 0, 1, 2
+#: Rounds end when one leaves more than this share of the underfull bins before it.
+PROGRESS = 0.999
 _ITEMS = "array<struct<item:bigint,piece:int,pieces:int,tokens:bigint>>"
-_BIN = f"spec_id int, capacity bigint, bucket bigint, container string, fill bigint, items {_ITEMS}, open boolean"
+_BIN = f"spec_id int, capacity bigint, bucket bigint, container string, fill bigint, items {_ITEMS}, state int"
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -45,34 +50,34 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack_group(level: int, last: bool, full: float, keep: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fill", "container"], kind="stable")  # the same result whatever the order of arrival
-        spec, capacity, bucket = int(pdf["spec_id"].iloc[0]), int(pdf["capacity"].iloc[0]), int(pdf["bucket"].iloc[0])
-        sizes, items = pdf["fill"].tolist(), pdf["items"].tolist()
-        least = min(sizes)
-        rows = []
-        for k, own in enumerate(best_fit(sizes, capacity)):
-            fill = sum(sizes[i] for i in own)
-            rows.append([spec, capacity, bucket, f"{spec}-{level}-{bucket}-{k}", fill, [x for i in own for x in items[i]], not last and fill < full * capacity and capacity - fill >= least])
-        rows.sort(key=lambda r: r[4])
-        seen = 0
-        for r in rows:  # the emptiest bins go on; the others are left as they are
-            seen += r[6]
-            r[6] = r[6] and seen <= keep
-        return pd.DataFrame(rows, columns=["spec_id", "capacity", "bucket", "container", "fill", "items", "open"])
+def _pack_group(level: int, full: float, least: dict[int, int]):
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("fill", "ascending"), ("container", "ascending")])  # the same result whatever the order of arrival
+        spec, capacity, bucket = (table.column(c)[0].as_py() for c in ("spec_id", "capacity", "bucket"))
+        sizes = table.column("fill").to_pylist()
+        bins = best_fit(sizes, capacity)
+        fill = np.array([sum(sizes[i] for i in own) for own in bins], dtype=np.int64)
+        own = table.column("items").combine_chunks().take(pa.array(np.concatenate([np.asarray(x) for x in bins])))
+        upto = np.r_[0, np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False))][np.r_[0, np.cumsum([len(x) for x in bins])]]
+        state = np.where(fill >= full * capacity, FULL, np.where(capacity - fill >= least[spec], OPEN, STUCK))
+        n = len(bins)
+        return pa.table({
+            "spec_id": pa.array([spec] * n, pa.int32()), "capacity": pa.array([capacity] * n, pa.int64()), "bucket": pa.array([bucket] * n, pa.int64()), "container": pa.array([f"{spec}-{level}-{bucket}-{k}" for k in range(n)]),
+            "fill": pa.array(fill), "items": pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), own.flatten()), "state": pa.array(state.astype(np.int32))})
 
     return pack
 
 
-def pack(items: DataFrame, specs: DataFrame, rows_each: int = 25_000, fan_in: int = 8, full: float = 0.99, keep: int = 4096) -> DataFrame:
+def pack(items: DataFrame, specs: DataFrame, rows_each: int = 25_000, fan_in: int = 8, full: float = 0.99) -> DataFrame:
     """Put items (item bigint, tokens bigint) into containers of each specification (spec_id int, capacity bigint).
 
     Hierarchical residual packing: items are hashed into buckets of about rows_each, each packed best-fit in falling
-    size. Bins filled to `full`, or which nothing of their bucket could enter, are emitted. Underfull bins go on as items
-    of a bucket that merges fan_in buckets, at most `keep` of the emptiest from each (the rest stays valid as it is, so
-    this bounds a task's work and drops nothing), until one bucket is left. An item larger than the capacity is cut into
-    full containers and one rest, which is packed like any item; no other item is cut.
+    size. Bins filled to `full` are emitted. Underfull bins meet those of other buckets in a round of fan_in times fewer
+    buckets (more where they are many, so that a task never holds more than about rows_each): as one item, or, where nothing
+    that is left could enter them, as the items that they hold. Rounds end with one bucket, when a round hardly lowers
+    the number of underfull bins, or after as many rounds as fan_in needs for the first buckets, and two; no bin is ever
+    set aside for the number of them. An item larger than the
+    capacity is cut into full containers and one rest, which is packed like any item; no other item is cut.
 
     Returns (spec_id, container, item, piece, pieces, tokens), one row per piece. Items of null or zero size take no
     room: they have one row with a null container and 0 pieces. Repeated rows count once. Capacities that are null or
@@ -82,8 +87,10 @@ def pack(items: DataFrame, specs: DataFrame, rows_each: int = 25_000, fan_in: in
     spark = items.sparkSession
     if not given:
         return spark.createDataFrame([], "spec_id int, container string, item bigint, piece int, pieces int, tokens bigint")
-    all_items = items.select(F.col("item").cast("long").alias("item"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens")).distinct()
-    n = items.count()
+    all_items = save(items.select(F.col("item").cast("long").alias("item"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens")).distinct(), "sizes")
+    rests = {s: F.when(F.col("tokens") % c > 0, F.col("tokens") % c) for s, c in given}
+    n, *least = all_items.agg(F.count(F.lit(1)), *[F.min(x) for x in rests.values()]).first()
+    least = {s: x or 1 for s, x in zip(rests, least)}
     spec = F.explode(F.array(*[F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("long").alias("capacity")) for s, c in given])).alias("s")
     each = all_items.select(spec, "item", "tokens").select("s.spec_id", "s.capacity", "item", "tokens")
     each = each.withColumn("pieces", F.ceil(F.col("tokens") / F.col("capacity")).cast("int"))
@@ -97,15 +104,23 @@ def pack(items: DataFrame, specs: DataFrame, rows_each: int = 25_000, fan_in: in
     left = (F.col("tokens") % F.col("capacity")).alias("tokens")
     bins = rest.select("spec_id", "capacity", F.pmod(F.xxhash64("item"), F.lit(buckets)).alias("bucket"), F.coalesce(F.col("item").cast("string"), F.lit("")).alias("container"), left.alias("fill"), F.array(F.struct("item", (F.col("pieces") - 1).alias("piece"), "pieces", left)).alias("items"))
     closed = []
-    level = 0
+    level, before = 0, None
+    rounds = 2
+    while fan_in ** (rounds - 2) < buckets:
+        rounds += 1
     while True:
-        last = buckets == 1
-        packed = save(bins.groupBy("spec_id", "bucket").applyInPandas(_pack_group(level, last, full, keep), _BIN), f"bins{level}")
-        closed.append(packed.filter(~F.col("open")))
-        if last:
+        packed = save(bins.groupBy("spec_id", "bucket").applyInArrow(_pack_group(level, full, least), _BIN), f"bins{level}")
+        under = packed.filter(F.col("state") > FULL).groupBy("spec_id").agg(F.count(F.lit(1)).alias("bins"), F.sum(F.when(F.col("state") == OPEN, 1).otherwise(F.size("items"))).alias("rows")).collect()  # a row for each specification
+        number, most = sum(r.bins for r in under), max([0, *(r.rows for r in under)])
+        if buckets == 1 or not number or level == rounds or (before is not None and number > PROGRESS * before):
+            closed.append(packed)
             break
-        buckets, level = -(-buckets // fan_in), level + 1
-        bins = packed.filter("open").select("spec_id", "capacity", F.floor(F.col("bucket") / F.lit(fan_in)).alias("bucket"), "container", "fill", "items")
+        closed.append(packed.filter(F.col("state") == FULL))
+        buckets, level, before = max(-(-buckets // fan_in), -(-most // rows_each)), level + 1, number
+        go = packed.filter(F.col("state") == OPEN).select("spec_id", "capacity", "container", "fill", "items")
+        parts = packed.filter(F.col("state") == STUCK).select("spec_id", "capacity", F.explode("items").alias("x"))
+        go = go.unionByName(parts.select("spec_id", "capacity", F.concat_ws("/", F.coalesce(F.col("x.item").cast("string"), F.lit("")), "x.piece").alias("container"), F.col("x.tokens").alias("fill"), F.array("x").alias("items")))
+        bins = go.select("spec_id", "capacity", F.pmod(F.xxhash64("container", F.lit(level)), F.lit(buckets)).alias("bucket"), "container", "fill", "items")
     out = none.unionByName(cut)
     for c in closed:
         out = out.unionByName(c.select("spec_id", "container", F.explode("items").alias("x")).select("spec_id", "container", "x.item", "x.piece", "x.pieces", "x.tokens"))

@@ -106,7 +106,7 @@ def link_components(links: DataFrame, known: DataFrame | None = None) -> tuple[D
     groups = save(groups, "keys")
     member = _join_skewed(links, groups, "key", n).select("item", "node")
     member = save(member.groupBy("item").agg(F.array_sort(F.collect_set("node")).alias("nodes")), "members")  # the few keys of one record
-    edges = member.filter(F.size("nodes") > 1).select(F.col("nodes")[0].alias("u"), F.explode(F.slice("nodes", 2, 1_000_000)).alias("v"))
+    edges = member.filter(F.size("nodes") > 1).select(F.col("nodes")[0].alias("u"), F.explode(F.slice("nodes", F.lit(2), F.size("nodes") - 1)).alias("v"))
     if known is not None:  # an item may be smaller than the component it joins: the smallest names it
         edges = edges.union(member.select(F.col("nodes")[0].alias("u"), F.col("item").alias("v")).filter("v < u"))
     roots = contract(edges)
@@ -170,7 +170,7 @@ def assign_splits(samples: DataFrame, targets: DataFrame, known: tuple[DataFrame
     small = fresh.join(by_hand.select("component"), "component", "left_anti").select("component", "records", F.lit(0).alias("_all"))
     room = sum(max(0.0, x) for x in lack.values()) or 1.0
     left = held.get(None, 0) - sum(r.records for r in large)
-    placed = prefix_sums(small, "_all", F.xxhash64(F.lit(seed), "component"), "records", total)
+    placed = prefix_sums(small, "_all", F.xxhash64(F.lit(seed), "component"), "records", total, ties=("component",))
     middle = F.col("upto") - F.col("records") / 2
     split, edge, last = None, 0.0, None
     for s in sorted(lack):

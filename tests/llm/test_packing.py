@@ -46,10 +46,23 @@ def test_levels_merge_and_little_is_wasted(spark):
 
 
 def test_items_that_never_fit_together(spark):
-    used, _ = next(_check(spark, [(i, 60, None) for i in range(500)] + [(1000, 1, None)], [(1, "a", 100)], rows_each=50, keep=20))
+    used, _ = next(_check(spark, [(i, 60, None) for i in range(500)] + [(1000, 1, None)], [(1, "a", 100)], rows_each=50))
     assert used == 500
 
 
+def test_halves_of_different_buckets_meet(spark):
+    sizes = [(i, 60, None) for i in range(1500)] + [(10_000 + i, 40, None) for i in range(1500)]
+    used, least = next(_check(spark, sizes, [(1, "a", 100)], rows_each=100))
+    assert least == 1500 and used <= 1502
+
+
+def test_many_underfull_bins_are_never_set_aside(spark):
+    rng = random.Random(7)
+    items = [(i, rng.choice([51, 52, 53]), None) for i in range(2000)] + [(10_000 + i, rng.choice([44, 45, 46]), None) for i in range(2000)]
+    used, least = next(_check(spark, items, [(1, "a", 100)], rows_each=400, fan_in=2))
+    assert used <= 1.03 * 2000  # 2000 pairs would do
+
+
 def test_nulls_empty_and_huge(spark):
     list(_check(spark, [(1, None, None), (2, 0, None), (3, 1000, None), (4, 10, None), (5, 20, None)], [(1, "a", 10)]))
     specs = spark.createDataFrame([(1, "a", 10), (2, "b", None), (3, "c", 0)], SPECS)
