@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, plain, prefix_sums, save, small_rows
+from .common import discard, filesystem, plain, prefix_sums, save, small_rows
 
 # What stands in an author field and names nobody.
 NOBODY = ["", "-", "--", "?", "n/a", "na", "n.a.", "none", "null", "nan", "nil", "unknown", "anonymous", "anon", "not given", "not available", "not known", "unnamed", "nobody", "no author", "unspecified", "undefined", "various", "tbd", "unknown author", "author unknown", "."]
@@ -17,6 +17,8 @@ PREFIXES = ["val", "altreal", "external"]
 HOT_SHARE = 1 / 2000
 #: A key of fewer links is never hot.
 HOT_LEAST = 10_000
+#: Rows of a contraction's table up to which one task can take a join key's whole group.
+ONE_TASK = 1_000_000
 QUARANTINE = "quarantine"
 
 
@@ -51,17 +53,30 @@ def _join_skewed(big: DataFrame, small: DataFrame, on: str, n: int) -> DataFrame
     return big.join(hot, on).unionByName(cold)
 
 
+def _join_hot(big: DataFrame, small: DataFrame, on: str, n: int, how: str = "inner") -> DataFrame:
+    """big (n rows) join small (at most one row for each value of `on`): values that are hot in big by broadcast of their
+    rows of small, of which there are at most 1 / HOT_SHARE, the others by shuffle."""
+    if n <= ONE_TASK:
+        return big.join(small, on, how)
+    hot = save(big.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > n * HOT_SHARE).select(on), "hot")
+    if hot.isEmpty():
+        return big.join(small, on, how)
+    few, hot = F.broadcast(small.join(F.broadcast(hot), on)), F.broadcast(hot)
+    return big.join(hot, on, "left_semi").join(few, on, how).unionByName(big.join(hot, on, "left_anti").join(small, on, how))
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """Components of a graph given by edges (u, v): (node, root), root the smallest node of the component.
 
     Each round points every node to the smallest of itself and its neighbours, shortens these pointers by jumping
     (pointer of the pointer, twice), and replaces nodes by what they point to; edges inside a new node vanish. A pointer
     that is not at its root yet stays as an edge. The graph shrinks to nothing in a number of rounds that grows as the
-    logarithm of its size. Every round is a written table.
+    logarithm of its size. Every round is a written table. The root of a giant component is a hot key of every join here.
     """
     edges = save(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     nodes = save(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("root", F.col("node")), "roots")
-    while not edges.isEmpty():
+    n_nodes = nodes.count()
+    while n_edges := edges.count():
         both = edges.union(edges.select("v", "u"))
         point = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
         drafts = []
@@ -69,42 +84,42 @@ def contract(edges: DataFrame) -> DataFrame:
             point = save(point, "pointers")
             drafts.append(point)
             up = point.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            point = point.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p"))
+            point = _join_hot(point, up, "p", n_nodes, "left").select("u", F.coalesce("pp", "p").alias("p"))
         point = save(point, "pointers")
         for d in drafts:
             discard(d)
         rest = point.select(F.col("u").alias("p"), F.col("p").alias("v")).filter("p <> v")  # where a pointer goes on
         rest = point.select("p").distinct().join(rest, "p").select(F.col("p").alias("u"), "v")
         a, b = point.select("u", F.col("p").alias("pu")), point.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        new = edges.join(a, "u").join(b, "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
+        new = _join_hot(_join_hot(edges, a, "u", n_edges), b, "v", n_edges).select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
         new = save(new.union(rest.select(F.least("u", "v"), F.greatest("u", "v"))).filter("u <> v").distinct(), "edges")
-        moved = save(nodes.join(point.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")), "roots")
+        moved = save(_join_hot(nodes, point.select(F.col("u").alias("root"), "p"), "root", n_nodes, "left").select("node", F.coalesce("p", "root").alias("root")), "roots")
         for d in (edges, nodes, point):
             discard(d)
         edges, nodes = new, moved
     return nodes
 
 
-def link_components(links: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def link_components(links: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Components of items that share a key, directly or through others.
 
     links: (item bigint, key string) of new items. known: the persisted component table (key, component) of earlier items.
     A key stands for its component where it is known, else for its smallest item; an item of several keys is an edge
     between what they stand for. Only these edges are contracted, so neither the size of a key's group nor that of
-    the known part matters to the loop.
+    the known part matters to the loop. Of the known part only the rows of the new items' keys are used.
 
-    Returns (members, table): members (item, component) of the linked new items, component being the smallest item; table
-    (key, component), the component table after the merges.
+    Returns (members, fresh, touched): members (item, component) of the linked new items, component being the smallest
+    item; fresh (key, component), the keys that were not known; touched (component, old), the known components that new
+    items joined, under their new and old names, which differ where components merged or a smaller item came.
     """
     n = links.count()
     groups = links.groupBy("key").agg(F.min("item").alias("_first"), F.count(F.lit(1)).alias("_n"))
     if known is not None:
         groups = groups.join(known.select("key", F.col("component").alias("_known")), "key", "left")
-        groups = groups.select("key", F.coalesce("_known", "_first").alias("node"), "_n")
     else:
-        groups = groups.select("key", F.col("_first").alias("node"), "_n")
-    groups = save(groups, "keys")
-    member = _join_skewed(links, groups, "key", n).select("item", "node")
+        groups = groups.withColumn("_known", F.lit(None).cast("long"))
+    groups = save(groups.select("key", F.coalesce("_known", "_first").alias("node"), "_n", F.col("_known").isNotNull().alias("old")), "keys")
+    member = _join_skewed(links, groups.select("key", "node", "_n"), "key", n).select("item", "node")
     member = save(member.groupBy("item").agg(F.array_sort(F.collect_set("node")).alias("nodes")), "members")  # the few keys of one record
     edges = member.filter(F.size("nodes") > 1).select(F.col("nodes")[0].alias("u"), F.explode(F.slice("nodes", F.lit(2), F.size("nodes") - 1)).alias("v"))
     if known is not None:  # an item may be smaller than the component it joins: the smallest names it
@@ -113,44 +128,31 @@ def link_components(links: DataFrame, known: DataFrame | None = None) -> tuple[D
     sizes = member.select(F.col("nodes")[0].alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
     names = save(sizes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"), "_n"), "names")
     members = _join_skewed(member.select("item", F.col("nodes")[0].alias("node")), names, "node", n).select("item", "component")
-    table = groups.select("key", "node")
-    if known is not None:
-        table = table.union(known.join(groups.select("key"), "key", "left_anti").select("key", F.col("component")))
-    table = table.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
-    return members, table
-
-
-def assign_splits(samples: DataFrame, targets: DataFrame, known: tuple[DataFrame, DataFrame] | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A split for every record, so that linked records share one and the splits have about their shares of all records.
-
-    samples: (sample_id, source, meta, ...) of new records. targets: (split, share), scaled to sum to 1. known: the two
-    tables returned for earlier records, (keys, components).
+    named = groups.select("key", "node", "old").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
+    return members, named.filter("not old").select("key", "component"), named.filter("old").select("component", F.col("node").alias("old")).distinct()
 
-    A component that has a split keeps it. A merge of components with different splits is put into the split "quarantine",
-    and stays there. New components fill the deficits: those of more than a thousandth of all records one by one, largest
-    first, each to the largest deficit; the others in a random order (a hash) that prefix sums of their sizes cut at
-    the remaining deficits. A record without any link is a component of its own.
 
-    Returns (assignment, keys, components): assignment (sample_id, component, split) of the new records, keys (key,
-    component), components (component, records, split). Repeated rows count once; a null sample_id takes no part.
-    Without targets of positive share all new components go to quarantine.
-    """
+def _assign(samples: DataFrame, targets: DataFrame, known: tuple[DataFrame, DataFrame] | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(assignment, fresh, touched, changed): see assign_splits; changed is the rows of the component table that are new or
+    other than before."""
     shares = [(r[0], float(r[1])) for r in small_rows(targets.select("split", "share"), 1000, "targets") if r[0] is not None and r[1] and r[1] > 0]
     ids = samples.select(F.col("sample_id").cast("long").alias("item")).filter("item is not null").distinct()
-    members, keys = link_components(record_links(samples), known and known[0])
-    members = save(members, "linked")
+    members, fresh, touched = link_components(record_links(samples), known and known[0])
+    members, fresh, touched = save(members, "linked"), save(fresh, "fresh"), save(touched, "touched")
     whole = save(ids.join(members, "item", "left").select("item", F.coalesce("component", "item").alias("component")), "components")
     sizes = whole.groupBy("component").agg(F.count(F.lit(1)).alias("records"))
     sizes = sizes.withColumn("splits", F.array().cast("array<string>"))
+    held: dict = {}
     if known is not None:
-        moved = known[0].select("key", F.col("component").alias("_old")).join(keys, "key").select(F.col("_old").alias("component"), F.col("component").alias("_new")).distinct()
-        old = known[1].join(moved, "component", "left").select(F.coalesce("_new", "component").alias("component"), "records", "split")
-        old = old.groupBy("component").agg(F.sum("records").alias("records"), F.collect_set("split").alias("splits"))
+        old = known[1].withColumnRenamed("component", "old").join(touched, "old").groupBy("component").agg(F.sum("records").alias("records"), F.collect_set("split").alias("splits"))
         sizes = sizes.unionByName(old).groupBy("component").agg(F.sum("records").alias("records"), F.flatten(F.collect_set("splits")).alias("splits"))
+        rest = known[1].join(touched.select(F.col("old").alias("component")), "component", "left_anti")
+        held = {r[0]: r[1] for r in rest.groupBy("split").agg(F.sum("records").alias("n")).collect()}  # a row for each split
     fate = F.when(F.size("splits") > 1, F.lit(QUARANTINE)).when(F.size("splits") == 1, F.col("splits")[0])
     sizes = save(sizes.select("component", "records", (fate if shares else F.coalesce(fate, F.lit(QUARANTINE))).alias("split")), "sizes")
 
-    held = {r[0]: r[1] for r in sizes.groupBy("split").agg(F.sum("records").alias("n")).collect()}  # a row for each split
+    for r in sizes.groupBy("split").agg(F.sum("records").alias("n")).collect():
+        held[r[0]] = held.get(r[0], 0) + r[1]
     total = sum(held.values())
     scale = sum(s for _, s in shares) or 1.0
     lack = {s: 0.0 for s, _ in shares}
@@ -158,8 +160,8 @@ def assign_splits(samples: DataFrame, targets: DataFrame, known: tuple[DataFrame
         lack[s] += share / scale * total
     for s in lack:
         lack[s] -= held.get(s, 0)
-    fresh = sizes.filter("split is null")
-    large = fresh.filter(F.col("records") > max(1, total // 1000)).orderBy(F.desc("records"), "component").collect()  # fewer than 1000
+    unset = sizes.filter("split is null")
+    large = unset.filter(F.col("records") > max(1, total // 1000)).orderBy(F.desc("records"), "component").collect()  # fewer than 1000
     fixed = []
     for r in large:
         best = max(lack, key=lambda s: lack[s])
@@ -167,10 +169,10 @@ def assign_splits(samples: DataFrame, targets: DataFrame, known: tuple[DataFrame
         fixed.append((r.component, best))
     spark = samples.sparkSession
     by_hand = F.broadcast(spark.createDataFrame(fixed, "component bigint, _split string"))
-    small = fresh.join(by_hand.select("component"), "component", "left_anti").select("component", "records", F.lit(0).alias("_all"))
+    small = unset.join(by_hand.select("component"), "component", "left_anti").select("component", "records", F.lit(0).alias("_all"))
     room = sum(max(0.0, x) for x in lack.values()) or 1.0
     left = held.get(None, 0) - sum(r.records for r in large)
-    placed = prefix_sums(small, "_all", F.xxhash64(F.lit(seed), "component"), "records", total, ties=("component",))
+    placed = prefix_sums(small, "_all", F.xxhash64(F.lit(seed), "component"), "records", max(1, left), ties=("component",))
     middle = F.col("upto") - F.col("records") / 2
     split, edge, last = None, 0.0, None
     for s in sorted(lack):
@@ -179,52 +181,93 @@ def assign_splits(samples: DataFrame, targets: DataFrame, known: tuple[DataFrame
             split = F.when(middle <= edge, F.lit(s)) if split is None else split.when(middle <= edge, F.lit(s))
             last = s
     chosen = F.lit(last or QUARANTINE) if split is None else split.otherwise(F.lit(last))
-    components = sizes.filter("split is not null").unionByName(fresh.join(by_hand, "component").select("component", "records", F.col("_split").alias("split"))).unionByName(placed.select("component", "records", chosen.alias("split")))
-    components = save(components, "assigned")
-    named = components.select("component", "split", F.col("records").alias("_n"))
+    changed = sizes.filter("split is not null").unionByName(unset.join(by_hand, "component").select("component", "records", F.col("_split").alias("split"))).unionByName(placed.select("component", "records", chosen.alias("split")))
+    changed = save(changed, "assigned")
+    named = changed.select("component", "split", F.col("records").alias("_n"))
     assignment = _join_skewed(whole, named, "component", total).select(F.col("item").alias("sample_id"), "component", "split")
+    return assignment, fresh, touched, changed
+
+
+def assign_splits(samples: DataFrame, targets: DataFrame, known: tuple[DataFrame, DataFrame] | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A split for every record, so that linked records share one and the splits have about their shares of all records.
+
+    samples: (sample_id, source, meta, ...) of new records. targets: (split, share), scaled to sum to 1. known: the two
+    tables returned for earlier records, (keys, components).
+
+    A component that has a split keeps it. A merge of components with different splits is put into the split "quarantine",
+    and stays there. New components fill the deficits: those of more than a thousandth of all records one by one, largest
+    first, each to the largest deficit; the others in a random order (a hash) that prefix sums of their sizes cut at
+    the remaining deficits. A record without any link is a component of its own.
+
+    Returns (assignment, keys, components): assignment (sample_id, component, split) of the new records, keys (key,
+    component), components (component, records, split). Repeated rows count once; a null sample_id takes no part.
+    Without targets of positive share all new components go to quarantine.
+    """
+    assignment, fresh, touched, changed = _assign(samples, targets, known, seed)
+    if known is None:
+        return assignment, fresh, changed
+    moved = touched.select(F.col("old").alias("component"), F.col("component").alias("_new"))
+    keys = known[0].join(moved, "component", "left").select("key", F.coalesce("_new", "component").alias("component")).unionByName(fresh)
+    components = known[1].join(moved, "component", "left_anti").select("component", "records", "split").unionByName(changed)
     return assignment, keys, components
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = filesystem(spark, path)
     if not fs.exists(p):
         return []
     names = [f.getPath().getName() for f in fs.listStatus(p)]
-    return sorted(int(n) for n in names if n.isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/components/_SUCCESS")))
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(filesystem(spark, f"{path}/{n}/components/_SUCCESS")[1]))
 
 
-def keep_components(known: tuple[DataFrame, DataFrame], path: str) -> None:
-    """Write (keys, components) of assign_splits as the next version under `path`, a durable folder that no driver deletes.
-
-    Components are written last; a version without them is not finished and is never read. One writer at a time.
-    """
-    spark = known[0].sparkSession
-    n = max([0, *_versions(spark, path)]) + 1
-    known[0].write.mode("overwrite").parquet(f"{path}/{n}/keys")
-    known[1].write.mode("overwrite").parquet(f"{path}/{n}/components")
+def _kept(spark: SparkSession, path: str, versions: list[int], name: str, schema: str) -> DataFrame:
+    """The rows of all versions, with `version`."""
+    parts = [spark.read.schema(schema).parquet(f"{path}/{v}/{name}").withColumn("version", F.lit(v)) for v in versions]
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def kept_components(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """The last finished version under `path`, None if there is none."""
+    """(keys, components) as the finished versions under `path` leave them, None if there is none.
+
+    A version holds what its records changed: `keys`, keys that were new; `moves`, old and new names of renamed components
+    (with those renamed before to the old name); `components`, rows that were new or changed. The last version counts.
+    """
     versions = _versions(spark, path)
     if not versions:
         return None
-    return spark.read.parquet(f"{path}/{versions[-1]}/keys"), spark.read.parquet(f"{path}/{versions[-1]}/components")
+    moves = _kept(spark, path, versions, "moves", "old bigint, component bigint").groupBy("old").agg(F.max_by("component", "version").alias("_new"))
+    keys = _kept(spark, path, versions, "keys", "key string, component bigint").withColumnRenamed("component", "old").join(moves, "old", "left").select("key", F.coalesce("_new", "old").alias("component"))
+    rows = _kept(spark, path, versions, "components", "component bigint, records bigint, split string")
+    rows = rows.groupBy("component").agg(F.max_by(F.struct("records", "split"), "version").alias("r")).join(moves.select(F.col("old").alias("component")), "component", "left_anti")
+    return keys, rows.select("component", "r.records", "r.split")
 
 
 def assign_kept(samples: DataFrame, targets: DataFrame, path: str, seed: int = 0) -> DataFrame:
-    """assign_splits of new records on what `path` keeps of earlier runs, which is then replaced: the assignment. Records of
-    an earlier run must not come again, as they would be counted twice."""
-    assignment, keys, components = assign_splits(samples, targets, kept_components(samples.sparkSession, path), seed)
-    keep_components((keys, components), path)
+    """assign_splits of new records on what `path`, a durable folder that no driver deletes, keeps of earlier runs: the
+    assignment. What the new records change is added there as the next version; nothing that was written before is
+    written again. Records of an earlier run must not come again, as they would be counted twice. One writer at a time;
+    components are written last, and a version without them is not finished and is never read.
+    """
+    spark = samples.sparkSession
+    known = kept_components(spark, path)
+    assignment, fresh, touched, changed = _assign(samples, targets, known, seed)
+    versions = _versions(spark, path)
+    moves = touched.filter("old <> component").select("old", "component")
+    if versions:
+        before = _kept(spark, path, versions, "moves", "old bigint, component bigint").groupBy("old").agg(F.max_by("component", "version").alias("via"))
+        moves = moves.unionByName(before.join(moves.select(F.col("old").alias("via"), "component"), "via").select("old", "component"))
+    folder = f"{path}/{max([0, *versions]) + 1}"
+    for name, df in (("keys", fresh), ("moves", moves), ("components", changed)):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
     return assignment
 
 
 def linked_records(samples: DataFrame) -> DataFrame:
     """(first_id, sample_id): every record that is linked to another, except the smallest of each component."""
-    members, _ = link_components(record_links(samples))
+    members = link_components(record_links(samples))[0]
     return members.filter("item <> component").select(F.col("component").alias("first_id"), F.col("item").alias("sample_id")).distinct()
 
 

@@ -5,7 +5,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import common, splits
+from gaugeworks import storage
+from gaugeworks.llm import splits
 
 SAMPLES = "sample_id bigint, source string, meta map<string,string>, component string, split string, key string"
 
@@ -34,7 +35,7 @@ def test_components_match_union_find(spark, keys):
     links = [(rng.randrange(10_000), f"k{rng.randrange(keys)}") for _ in range(1200)]
     links += [(20_000 + i, f"c{i + j}") for i in range(300) for j in (0, 1)]  # a chain
     links += [(40_000 + i, "hot") for i in range(2000)]
-    members, table = splits.link_components(spark.createDataFrame(links + links[:100], "item bigint, key string"))
+    members, table, _ = splits.link_components(spark.createDataFrame(links + links[:100], "item bigint, key string"))
     want = _components(links)
     assert {r.item: r.component for r in members.collect()} == want
     assert {r.key: r.component for r in table.collect()} == {k: want[i] for i, k in links}
@@ -43,7 +44,7 @@ def test_components_match_union_find(spark, keys):
 def test_hot_keys_take_the_other_path(spark, monkeypatch):
     monkeypatch.setattr(splits, "HOT_LEAST", 50)
     links = [(i, "hot") for i in range(500)] + [(i, f"k{i % 40}") for i in range(400, 700)]
-    members, _ = splits.link_components(spark.createDataFrame(links, "item bigint, key string"))
+    members = splits.link_components(spark.createDataFrame(links, "item bigint, key string"))[0]
     assert {r.item: r.component for r in members.collect()} == _components(links)
 
 
@@ -97,7 +98,7 @@ def test_components_are_kept_between_runs(spark, tmp_path, monkeypatch):
     path, scratch = str(tmp_path / "kept"), tmp_path / "scratch"
     assert splits.kept_components(spark, path) is None
     with monkeypatch.context() as m:
-        m.setattr(common, "shared_folder", lambda s: f"file://{scratch}")
+        m.setattr(storage, "shared_folder", lambda s: f"file://{scratch}")
         before = {r.sample_id: r.split for r in splits.assign_kept(rows(range(100)), first, path).collect()}
     shutil.rmtree(scratch)  # as at the driver's exit
     (tmp_path / "kept" / "7" / "keys").mkdir(parents=True)  # not finished
@@ -107,6 +108,35 @@ def test_components_are_kept_between_runs(spark, tmp_path, monkeypatch):
     assert splits.kept_components(spark, path)[1].agg(F.sum("records")).first()[0] == 140
 
 
+def test_versions_hold_only_changes_and_follow_merges(spark, tmp_path):
+    """Random batches: the kept components are those of all records at once, and every version is as small as its batch."""
+    rng = random.Random(11)
+    targets = spark.createDataFrame(TARGETS, "split string, share double")
+    path = str(tmp_path / "kept")
+    rows = [(i, f"s{rng.randrange(3)}", {"author": f"a{rng.randrange(90)}", "img_id": f"m{rng.randrange(400)}"} if rng.random() < 0.8 else None, "", "", "") for i in rng.sample(range(10_000), 600)]
+    seen, quarantined = {}, set()
+    for k, (a, b) in enumerate([(0, 300), (300, 330), (330, 331), (331, 600)], 1):
+        for r in splits.assign_kept(spark.createDataFrame(rows[a:b], SAMPLES), targets, path).collect():
+            seen[r.sample_id] = r.split
+        assert spark.read.parquet(f"{path}/{k}/keys").count() <= 2 * (b - a) and spark.read.parquet(f"{path}/{k}/components").count() <= b - a
+    df = spark.createDataFrame(rows, SAMPLES)
+    whole = {r.component: r.records for r in splits.assign_splits(df, targets)[2].collect()}
+    keys, comps = splits.kept_components(spark, path)
+    assert {r.component: r.records for r in comps.collect()} == whole
+    at_once = {r.key: r.component for r in splits.assign_splits(df, targets)[1].collect()}
+    assert {r.key: r.component for r in keys.collect()} == at_once
+
+
+def test_hot_roots_give_the_same_components(spark, monkeypatch):
+    rng = random.Random(12)
+    edges = [(0, i) for i in range(1, 400)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(300)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint")
+    plain = {tuple(r) for r in splits.contract(df).collect()}
+    monkeypatch.setattr(splits, "ONE_TASK", 10)
+    monkeypatch.setattr(splits, "HOT_SHARE", 0.05)
+    assert {tuple(r) for r in splits.contract(df).collect()} == plain
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SAMPLES)
     targets = spark.createDataFrame(TARGETS, "split string, share double")
