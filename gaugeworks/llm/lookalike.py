@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import save, ship
 
-# Letters of other scripts that are drawn as a Latin letter, in pairs of look-alike and Latin letter.
+# Letters drawn as a Latin letter, in pairs of look-alike and Latin letter, of the scripts whose running text is
+# common: the public table of confusable characters, made for identifiers, has more of them, which a reader tells apart.
 LOOKALIKES = {
     "Cyrillic": "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX ҮY ӀI ԚQ ԜW ԌG аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv ӏl",
     "Greek": "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ϳj ϹC ϲc ͿJ",
     "Armenian": "ՍU ՏS ՕO օo սu ոn հh",
     "Latin": "ɡg ɑa",
 }
+#: Scripts of which only LOOKALIKES count, as their letters' names begin.
+LISTED = ("GREEK", "CYRILLIC", "ARMENIAN", "LATIN", "HEBREW", "ARABIC")
 # Dashes drawn as the hyphen-minus.
 HYPHENS = "‐‑"
 # Code points of the Unicode property Default_Ignorable_Code_Point, as ranges.
@@ -30,9 +34,30 @@ UNSEEN = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>",
 
 
 @lru_cache(maxsize=1)
-def _table() -> dict[int, str | None]:
-    """What each character of a canonically decomposed text becomes, made from the Unicode data by rule."""
-    letters = {pair[0]: pair[1] for pairs in LOOKALIKES.values() for pair in pairs.split()}
+def _confusable(spark: SparkSession) -> dict[str, str]:
+    """Letters of all other scripts that look like a Latin one, from the public table of confusable characters (Unicode
+    Technical Standard 39), which ICU carries and Spark ships: a letter goes to the ASCII letter of the same case with the
+    same skeleton, a letter without case to the ASCII letter that is its skeleton."""
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    skeleton = lambda letters: dict(zip(letters, checker.getSkeleton("\n".join(letters)).split("\n")))
+    latin: dict[str, list[str]] = {}
+    for ch, form in skeleton([chr(c) for c in (*range(65, 91), *range(97, 123))]).items():
+        latin.setdefault(form, []).append(ch)
+    ideographs = lambda c: 0x3400 <= c <= 0x9FFF or 0xAC00 <= c <= 0xDFFF or c >= 0x20000
+    others = [chr(c) for c in range(0x370, 0x20000) if not ideographs(c) and unicodedata.category(chr(c)).startswith("L")]
+    others = [ch for ch in others if not unicodedata.name(ch, "LATIN").startswith(LISTED) and not unicodedata.decomposition(ch)]
+    out = {}
+    for ch, form in skeleton(others).items():
+        case = unicodedata.category(ch)
+        same = [a for a in latin.get(form, []) if unicodedata.category(a) == case or (case == "Lo" and a == form)]
+        if same:
+            out[ch] = same[0]
+    return out
+
+
+def character_table(confusable: dict[str, str]) -> dict[str, str]:
+    """What each character that is not its own visible form becomes, made from the Unicode data by rule."""
+    letters = confusable | {pair[0]: pair[1] for pairs in LOOKALIKES.values() for pair in pairs.split()}
 
     def plain(ch: str) -> str:
         parts = unicodedata.decomposition(ch).split()
@@ -45,56 +70,69 @@ def _table() -> dict[int, str | None]:
             return "".join(plain(chr(int(x, 16))) for x in parts)
         if unicodedata.category(ch) == "Zs" or ch == "\t":
             return " "
-        if ch in "\x0b\x0c\x85  ":
+        if ch in "\x0b\x0c\x85\u2028\u2029":
             return "\n"
         if ch in HYPHENS:
             return "-"
         return letters.get(ch, ch)
 
-    table: dict[int, str | None] = {}
+    table = {}
     for code in range(0x110000):
         if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xF8FF or 0x20000 <= code <= 0xDFFFF or code >= 0xE1000:
             continue  # Hangul, surrogates, private use, ideographs: nothing to map
         ch = chr(code)
-        if unicodedata.decomposition(ch) or not ch.isalnum():
-            if (to := plain(ch)) != ch:
-                table[code] = to
-    table |= {ord(k): v for k, v in letters.items()}
-    table |= dict.fromkeys((c for a, b in IGNORABLE for c in range(a, b + 1)), None)
-    return table
+        if ch in letters or unicodedata.decomposition(ch) or not ch.isalnum():
+            if (to := unicodedata.normalize("NFC", plain(ch))) != ch:
+                table[ch] = to
+    return table | dict.fromkeys((chr(c) for a, b in IGNORABLE for c in range(a, b + 1)), "")
 
 
-def _apply(text: str, table: dict[int, str | None], fold_case: bool) -> str:
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if text.isascii():
-        text = text.translate({9: " ", 11: "\n", 12: "\n"}) if any(c in text for c in "\t\x0b\x0c") else text
-    else:
-        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(table))
-    return unicodedata.normalize("NFC", text.casefold()) if fold_case else text
+class VisibleForm:
+    """Text to its visible form: composed compatibility normalisation without the decompositions that a reader sees, one
+    kind of white space and line end, look-alike letters as Latin ones, no default-ignorable characters.
 
+    One compiled pattern finds whether a text holds any character to be mapped; only then is it taken apart. fold_case
+    folds letter case as well, for comparisons in which case is no difference.
+    """
 
-def visible_form(text: str, fold_case: bool = False) -> str:
-    """One form for all texts that look the same: composed compatibility normalisation without the decompositions that a
-    reader sees, one kind of white space and line end, look-alike letters as Latin ones, no default-ignorable characters.
+    def __init__(self, table: dict[str, str], fold_case: bool = False):
+        self.table, self.fold_case = table, fold_case
+        # the pattern engine keeps a set of the basic plane as a bitmap, but not a larger one
+        self.mapped = re.compile("[" + "".join(re.escape(c) for c in sorted(table) if c < "\U00010000") + "]|[\U00010000-\U0010ffff]")
 
-    fold_case folds letter case as well, for comparisons in which case is no difference.
-    """
-    return _apply(text, _table(), fold_case)
+    def __call__(self, text: str) -> str:
+        if "\r" in text:
+            text = text.replace("\r\n", "\n").replace("\r", "\n")
+        if self.mapped.search(text):
+            text = self.mapped.sub(lambda m: self.table.get(m[0], m[0]), text)
+        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        return unicodedata.normalize("NFC", text.casefold()) if self.fold_case else text
+
+
+@lru_cache(maxsize=4)
+def _form_of(spark: SparkSession, fold_case: bool) -> VisibleForm:
+    return VisibleForm(character_table(_confusable(spark)), fold_case)
+
+
+def visible_form(spark: SparkSession, text: str, fold_case: bool = False) -> str:
+    """One form for all texts that look the same (VisibleForm)."""
+    return _form_of(spark, fold_case)(text)
 
 
-def _forms(digest: bool, fold_case: bool):
-    table = _table()  # made once, on the driver
+def _forms(form_of: VisibleForm, digest: bool):
     short = lambda s: blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
     def run(batches):
         for b in batches:
             coded = b.column(1).combine_chunks().dictionary_encode() if isinstance(b.column(1), pa.ChunkedArray) else b.column(1).dictionary_encode()
             values = coded.dictionary.to_pylist()  # the distinct texts of the batch
-            forms = [_apply(v, table, fold_case) for v in values]
+            made = [form_of(v) for v in values]
             if digest:
-                cols = [pa.array([short(v) for v in values], pa.binary()), pa.array([short(f) for f in forms], pa.binary())]
+                raw = [short(v) for v in values]
+                cols = [pa.array(raw, pa.binary()), pa.array([r if f == v else short(f) for v, f, r in zip(values, made, raw)], pa.binary())]
             else:
-                cols = [pa.array(forms, pa.string()), pa.array([v != f for v, f in zip(values, forms)], pa.bool_())]
+                cols = [pa.array(made, pa.string()), pa.array([v != f for v, f in zip(values, made)], pa.bool_())]
             yield pa.RecordBatch.from_arrays([b.column(0), *(c.take(coded.indices) for c in cols)], names=["item", "a", "b"])
 
     return run
@@ -102,13 +140,13 @@ def _forms(digest: bool, fold_case: bool):
 
 def forms(texts: DataFrame, fold_case: bool = False) -> DataFrame:
     """(item bigint, text) to (item, form, changed), every distinct text of a batch normalised once. A null text has a null form and null changed."""
-    return texts.select(F.col("item").cast("long").alias("item"), "text").mapInArrow(_forms(False, fold_case), "item bigint, form string, changed boolean").select("item", "form", "changed")
+    return texts.select(F.col("item").cast("long").alias("item"), "text").mapInArrow(_forms(_form_of(texts.sparkSession, fold_case), False), "item bigint, form string, changed boolean").select("item", "form", "changed")
 
 
 def digests(texts: DataFrame, fold_case: bool = False) -> DataFrame:
     """(item bigint, text) to (item, raw, form): 128-bit digests of the text as it is and of its form. Null texts are left out."""
     rows = texts.filter("text is not null").select(F.col("item").cast("long").alias("item"), "text")
-    return rows.mapInArrow(_forms(True, fold_case), "item bigint, raw binary, form binary")
+    return rows.mapInArrow(_forms(_form_of(texts.sparkSession, fold_case), True), "item bigint, raw binary, form binary")
 
 
 def look_alike_classes(texts: DataFrame, fold_case: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,8 +229,33 @@ select distinct least(a, b) as vec_a, greatest(a, b) as vec_b from best where n
 """
 
 
+_PAIRS = [pair for pairs in lookalike.LOOKALIKES.values() for pair in pairs.split()]
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NFC = lambda x: unicodedata.normalize("NFC", x)
+_PAIRS += [a + b for p in _PAIRS for m in map(chr, range(0x300, 0x330)) if len(a := _NFC(p[0] + m)) == 1 == len(b := _NFC(p[1] + m))]  # those with a mark
+_FROM, _TO = _WIDE + "".join(p[0] for p in _PAIRS), "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + "".join(p[1] for p in _PAIRS)
+_IGNORED = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in lookalike.IGNORABLE)
+_LOOK = f"regexp_replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '[{_IGNORED}]', '', 'g')"
+_LOOK = f"regexp_replace({_LOOK}, '[\\t\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')"
+_LOOK = f"translate({_LOOK}, '{_FROM.replace(chr(39), chr(39) * 2)}', '{_TO.replace(chr(39), chr(39) * 2)}')"
+for _old, _new in (("\u2010", "-"), ("\u2011", "-"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\u2026", "...")):
+    _LOOK = f"replace({_LOOK}, '{_old}', '{_new}')"
+#: The differences that the documents hold, undone one by one; by far not all that the operator knows.
+_P8 = f"""
+with f as (select distinct doc_id, text, nfc_normalize({_LOOK}) as form from documents where text is not null)
+select distinct least(a.doc_id, b.doc_id) as doc_a, greatest(a.doc_id, b.doc_id) as doc_b from f a join f b on a.form = b.form and a.text <> b.text and a.doc_id < b.doc_id
+"""
+_P8_CLASSES = f"""
+with f as (select distinct doc_id, text, nfc_normalize({_LOOK}) as form from documents where text is not null),
+c as (select form, min(doc_id) as class_id, count(*) as items, count(distinct text) as spellings from f group by form)
+select doc_id, class_id, items, spellings from f join c using (form)
+"""
+
+
 def oracle_sql():
     return {
+        "p8_found": _P8,
+        "p8_classes": _P8_CLASSES,
         "p2_found": _P2,
         "p1_found": _P1, "p3_found": _P3, "p4_found": _P4 + "select distinct err_id from k where rank <= 5",
         "p4_top_errors": _P4 + "select arm, condition, label, err_id, path, score, rank::int as rank from k where rank <= 5",

@@ -5,33 +5,48 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gaugeworks.llm import lookalike
-from gaugeworks.llm.lookalike import visible_form
+
+
+@pytest.fixture(scope="module")
+def visible_form(spark):
+    return lambda text, fold_case=False: lookalike.visible_form(spark, text, fold_case)
+
 
 SAME = [
     ("ｆｕｌｌ　１２", "full 12"), ("ﬁne eﬀort ﬄ", "fine effort ffl"), ("a​b﻿­c⁠", "abc"), ("x y z w", "x y z w"), ("résumé", "résumé"),
-    ("раураl", "paypal"), ("ӓ", "ä"), ("21 K", "21 K"), ("well‑known", "well-known"), ("5 µm", "5 μm"), ("ở", "ở"), ("a\r\nb", "a\nb"), ("ΑΒ", "AB"), ("սօո", "uon")]
-DIFFERENT = [("x²", "x2"), ("H₂O", "H2O"), ("resume", "résumé"), ("Word", "word"), ("①", "1"), ("½", "1/2"), ("l", "1"), ("O", "0"), ("й", "и"), ("straße", "strasse"), ("a b", "ab"), ("", " ")]
+    ("раураl", "paypal"), ("ӓ", "ä"), ("21 K", "21 K"), ("well‑known", "well-known"), ("5 µm", "5 μm"), ("ở", "ở"), ("a\r\nb", "a\nb"), ("ΑΒ", "AB"), ("սօո", "uon"), ("ᎪᎬᎷ", "AEM"), ("ꓐꓳꓧ", "BOH"), ("ⲞⲢⲤ", "OPC"), ("𝐀𝑏", "Ab"), ("e\u0308", "\u0451")]
+DIFFERENT = [("x²", "x2"), ("H₂O", "H2O"), ("resume", "résumé"), ("Word", "word"), ("①", "1"), ("½", "1/2"), ("l", "1"), ("O", "0"), ("й", "и"), ("straße", "strasse"), ("a b", "ab"), ("", " "), ("г", "r"), ("α", "a"), ("σ", "o"), ("З", "3"), ("Д", "Л")]
 
 
 @pytest.mark.parametrize("a,b", SAME)
-def test_same_to_a_reader(a, b):
+def test_same_to_a_reader(visible_form, a, b):
     assert visible_form(a) == visible_form(b)
 
 
 @pytest.mark.parametrize("a,b", DIFFERENT)
-def test_visibly_different(a, b):
+def test_visibly_different(visible_form, a, b):
     assert visible_form(a) != visible_form(b)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(max_size=40))
-def test_idempotent_and_composed(s):
-    f = visible_form(s)
-    assert visible_form(f) == f and unicodedata.normalize("NFC", f) == f
-    assert visible_form(unicodedata.normalize("NFD", s)) == f
+def test_idempotent_and_composed(visible_form):
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(max_size=40))
+    def check(s):
+        f = visible_form(s)
+        assert visible_form(f) == f and unicodedata.normalize("NFC", f) == f
+        assert visible_form(unicodedata.normalize("NFD", s)) == f
+
+    check()
+
+
+def test_letters_of_many_scripts_come_from_the_public_table(spark):
+    table = lookalike._confusable(spark)
+    assert len(table) > 150 and table["Ꭺ"] == "A" and table["ꓧ"] == "H" and table["𐊐"] == "X"
+    assert not any(unicodedata.name(c).startswith(lookalike.LISTED) for c in table)
+    assert all(a.isascii() and a.isalpha() for a in table.values())
 
 
-def test_case_folding_is_an_option():
+def test_case_folding_is_an_option(visible_form):
     assert visible_form("STRASSE", fold_case=True) == visible_form("straße", fold_case=True)
 
 
