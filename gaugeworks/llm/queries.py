@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..storage import filesystem, shared_folder
 from . import drawing, lookalike, mixing, neighbours, overlap, packing, splits, topn
 
 #: Placement of p2: rows of a posting list, lists that a vector belongs to and searches.
@@ -32,6 +35,26 @@ def p1_report(spark, d):
     return _draw(spark, d)[1]
 
 
+def p1_kept(spark, d):
+    """What every draw must keep, by category: the floor where there are as many records, the aim rounded up or down, and no
+    record twice."""
+    sample, report = _draw(spark, d)
+    once = sample.groupBy("draw_id", "source", "label").agg(F.count_distinct("item").alias("items"))
+    floors = _table(spark, d, "draw_targets").select("draw_id", "source", F.col("label").cast("int").alias("label"), "min_rows")
+    r = report.join(once, ["draw_id", "source", "label"], "left").join(floors, ["draw_id", "source", "label"])
+    kept = (F.abs(F.col("drawn") - F.col("aim")) < 1) & (F.coalesce("items", F.lit(0)) == F.col("drawn")) & (F.col("drawn") >= F.least("min_rows", "available"))
+    return r.select("draw_id", "source", "label", F.round("goal", 6).alias("goal"), "available", F.round("gap", 6).alias("gap"), kept.alias("kept"))
+
+
+def p1_size(spark, d):
+    """Records of every draw against its size, where the categories hold as many: off by less than one for each category."""
+    report = _draw(spark, d)[1]
+    size = _table(spark, d, "draw_targets").groupBy("draw_id").agg(F.max("n_rows").alias("n_rows"))
+    per = report.groupBy("draw_id").agg(F.sum("drawn").alias("drawn"), F.count(F.lit(1)).alias("categories"), F.sum(F.when(F.col("goal") > 0, F.col("available")).otherwise(0)).alias("available"))
+    near = F.abs(F.col("drawn") - F.least("n_rows", "available")) < F.col("categories")
+    return per.join(size, "draw_id").select("draw_id", "n_rows", near.alias("met"))
+
+
 def p1_sample(spark, d):
     return _draw(spark, d)[0].withColumnRenamed("item", "sample_id")
 
@@ -77,6 +100,33 @@ def p5_splits(spark, d):
     return splits.assign_splits(_table(spark, d, "samples"), _table(spark, d, "split_targets"))[0]
 
 
+def p5_components(spark, d):
+    """The component table after two batches: records loaded within a day of being added, then the others. The first batch is
+    kept in a folder and the second joins it."""
+    samples, targets = _table(spark, d, "samples"), _table(spark, d, "split_targets")
+    first = samples.groupBy("sample_id").agg(F.min(F.coalesce(F.col("loaded_at") - F.col("added_at") <= F.expr("interval 1 day"), F.lit(False))).alias("early"))
+    batches = samples.join(first, "sample_id")
+    path = f"{shared_folder(spark)}/gaugeworks/components-{uuid.uuid4().hex}"
+    fs, p = filesystem(spark, path)
+    fs.deleteOnExit(p)  # a trial of two batches; a pipeline names a folder that stays
+    splits.assign_kept(batches.filter("early"), targets, path)
+    splits.assign_kept(batches.filter("not early"), targets, path)
+    return splits.kept_components(spark, path)[1].select("component", "records")
+
+
+def p5_kept(spark, d):
+    """What the splits must keep: every record in one split, every component in one, shares within one part in a hundred or the largest component."""
+    samples, targets = _table(spark, d, "samples"), _table(spark, d, "split_targets")
+    got = splits.assign_splits(samples, targets)[0]
+    per = got.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("items"), F.count_distinct("split").alias("splits"))
+    whole = per.agg(F.sum("n").alias("records"), F.sum("items").alias("items"), F.max("splits").alias("splits"), F.max("n").alias("largest"))
+    part = got.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    share = targets.select("split", (F.col("share") / F.sum("share").over(Window.partitionBy())).alias("share"))  # a row for each split
+    d = share.join(part, "split", "left").crossJoin(whole)  # one row
+    near = F.abs(F.coalesce("n", F.lit(0)) / F.col("records") - F.col("share")) <= F.greatest(F.lit(0.01), F.col("largest") / F.col("records"))
+    return d.select("split", "records", "items", "splits", near.alias("near"))
+
+
 def _packed(spark, d):
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("item"), F.octet_length("text").alias("tokens"))
     return packing.pack(docs, _table(spark, d, "pack_specs"))
@@ -94,6 +144,16 @@ def p6_report(spark, d):
     return packing.pack_report(_packed(spark, d))
 
 
+def p6_kept(spark, d):
+    """What the containers must keep: all tokens, every document whole that fits, no container over its capacity."""
+    packed, specs = _packed(spark, d), _table(spark, d, "pack_specs").select("spec_id", "capacity")
+    fill = packed.filter("container is not null").groupBy("spec_id", "container").agg(F.sum("tokens").alias("fill")).join(specs, "spec_id")
+    fill = fill.groupBy("spec_id").agg(F.sum("fill").alias("tokens"), F.count_if(F.col("fill") > F.col("capacity")).alias("overfull"), F.max("capacity").alias("capacity"))
+    item = packed.groupBy("spec_id", "item").agg(F.sum("tokens").alias("t"), F.count("container").alias("parts")).join(specs, "spec_id")
+    item = item.groupBy("spec_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("t") <= F.col("capacity")) & (F.col("parts") > 1)).alias("cut"))
+    return fill.join(item, "spec_id").select("spec_id", "documents", "tokens", "overfull", "cut")
+
+
 def _mixed(spark, d):
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("item"), "source", F.octet_length("text").alias("tokens"))
     return mixing.mix(docs, _table(spark, d, "mix_targets"))
@@ -111,6 +171,15 @@ def p7_report(spark, d):
     return _mixed(spark, d)[1]
 
 
+def p7_kept(spark, d):
+    """What the mixes must keep, by source: its budget but for the largest document, or all that it may give."""
+    choice, report = _mixed(spark, d)
+    per = choice.groupBy("mix_id", "source").agg(F.max("tokens").alias("largest"), F.max("repeats").alias("most"))
+    r = report.join(per, ["mix_id", "source"], "left")
+    ends = (F.abs(F.col("target_tokens") - F.col("reached_tokens")) <= F.coalesce("largest", F.lit(0))) | (F.col("reached_tokens") == F.col("max_repeats") * F.col("available_tokens")) | ((F.col("reached_tokens") == 0) & (F.col("target_tokens") < F.col("available_tokens")))
+    return r.select("mix_id", "source", F.round("target_tokens", 3).alias("target_tokens"), "available_tokens", (ends & (F.coalesce("most", F.lit(0)) <= F.col("max_repeats"))).alias("kept"))
+
+
 def _texts(spark, d):
     return _table(spark, d, "documents").select(F.col("doc_id").alias("item"), "text")
 
@@ -128,7 +197,7 @@ def p8_forms(spark, d):
 
 
 def queries():
-    named = [p1_found, p1_report, p1_sample, p2_found, p2_neighbours, p3_found, p3_report, p4_found, p4_top_errors, p5_found, p5_splits, p6_found, p6_containers, p6_report, p7_found, p7_choice, p7_report, p8_found, p8_classes, p8_forms]
+    named = [p1_found, p1_report, p1_kept, p1_size, p1_sample, p2_found, p2_neighbours, p3_found, p3_report, p4_found, p4_top_errors, p5_found, p5_splits, p5_components, p5_kept, p6_found, p6_containers, p6_report, p6_kept, p7_found, p7_choice, p7_report, p7_kept, p8_found, p8_classes, p8_forms]
     return {f.__name__: f for f in named}
 
 
@@ -229,6 +298,33 @@ select distinct least(a, b) as vec_a, greatest(a, b) as vec_b from best where n
 """
 
 
+_P1_KEPT = f"""
+with have as (
+  select {_plain('source')} as source, least(label, 1) as label, count(distinct sample_id) as n from samples where source is not null and label is not null group by 1, 2)
+select t.draw_id, t.source, t.label::int as label, round(greatest(t.share * t.n_rows, t.min_rows), 6) as goal, coalesce(h.n, 0) as available,
+  round(greatest(greatest(t.share * t.n_rows, t.min_rows) - coalesce(h.n, 0), 0), 6) as gap, true as kept
+from draw_targets t left join have h on h.source = t.source and h.label = t.label
+"""
+_P1_SIZE = "select draw_id, max(n_rows) as n_rows, true as met from draw_targets group by draw_id"
+_P5_COMPONENTS = _P5.rsplit("select distinct root.r", 1)[0] + """select coalesce(c.r, s.sample_id) as component, count(*) as records
+from (select distinct sample_id from samples where sample_id is not null) s left join (select distinct own.sample_id, root.r from own join root using (n)) c using (sample_id) group by 1
+"""
+_P5_KEPT = "select split, (select count(distinct sample_id) from samples)::bigint as records, (select count(distinct sample_id) from samples)::bigint as items, 1::bigint as splits, true as near from split_targets"
+_P6_KEPT = "select s.spec_id, count(*) as documents, coalesce(sum(strlen(d.text)), 0)::bigint as tokens, 0::bigint as overfull, 0::bigint as cut from documents d, pack_specs s group by s.spec_id"
+_P7_KEPT = f"""
+with have as (select {_plain('source')} as source, sum(strlen(text))::bigint as tokens from documents where source is not null and text is not null group by 1)
+select mix_id, source, round(weight / sum(weight) over (partition by mix_id) * budget_tokens, 3) as target_tokens, coalesce(h.tokens, 0)::bigint as available_tokens, true as kept from mix_targets left join have h using (source)
+"""
+_P2_NEAR = """
+with v as (
+  select distinct on (vec_id) vec_id, feats::double[] as f from feature_cache
+  where len(feats) = 64 and len(list_filter(feats, lambda x: x is not null and not isnan(x) and not isinf(x))) = 64 and len(list_filter(feats, lambda x: x <> 0)) > 0),
+p as (select vec_id, min(paths) as path from feature_cache group by vec_id),
+near as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.f, b.f) as c from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
+best as (select *, row_number() over (partition by a order by c desc, b) as n from near)
+select a as vec_id, n::int as rank, b as neighbour_id, round(c, 6) as cosine, path from best join p on p.vec_id = b where n <= 10
+"""
+
 _PAIRS = [pair for pairs in lookalike.LOOKALIKES.values() for pair in pairs.split()]
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NFC = lambda x: unicodedata.normalize("NFC", x)
@@ -254,6 +350,7 @@ select doc_id, class_id, items, spellings from f join c using (form)
 
 def oracle_sql():
     return {
+        "p1_kept": _P1_KEPT, "p1_size": _P1_SIZE, "p2_neighbours": _P2_NEAR, "p5_components": _P5_COMPONENTS, "p5_kept": _P5_KEPT, "p6_kept": _P6_KEPT, "p7_kept": _P7_KEPT,
         "p8_found": _P8,
         "p8_classes": _P8_CLASSES,
         "p2_found": _P2,
