@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Picture extensions, and directory names that label what lies in them.
 EXTENSIONS = ["jpg", "jpeg", "png", "webp", "bmp"]
-FAKE_DIRECTORIES = ["ai", "fake", "fakes", "generated", "synthetic", "1_fake"]
-REAL_DIRECTORIES = ["real", "reals", "nature", "natural", "0_real"]
+FAKE_DIRECTORIES = ["ai", "fake", "fakes", "synthetic", "generated", "1"]
+REAL_DIRECTORIES = ["real", "reals", "nature", "natural", "0"]
 
 
 def strip_leading(path: Column) -> Column:
@@ -83,7 +83,7 @@ def keep_any(path: Column, pieces: list[str]) -> Column:
 
 def class_ratio(real: Column, fake: Column) -> Column:
     """'1:x', fakes for each real."""
-    return F.when(real > 0, F.concat(F.lit("1:"), F.format_number(fake / real, 2)))
+    return F.when(real > 0, F.format_string("1:%.2f", fake / real))
 
 
 def plain(text: Column) -> Column:
@@ -91,6 +91,37 @@ def plain(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
+def is_clip_id(text: Column) -> Column:
+    """Lower-case letters, digits and underscores only."""
+    return text.rlike("^[a-z0-9_]+$")
+
+
+def problems(checks: list[tuple[Column, Column]]) -> Column:
+    """The texts of the predicates that hold, joined by commas; null if none does."""
+    found = F.array_compact(F.array(*[F.when(c, text) for c, text in checks]))
+    return F.when(F.size(found) > 0, F.array_join(found, ", "))
+
+
+def file_digest(content: Column) -> Column:
+    """SHA-256 of a file's content."""
+    return F.sha2(content, 256)
+
+
+def cache_key(*parts: Column) -> Column:
+    """First ten hexadecimal digits of the MD5 of the parts, joined by a bar."""
+    return F.substring(F.md5(F.concat_ws("|", *parts)), 1, 10)
+
+
+def head_map(names: list[str], scores: list[Column]) -> Column:
+    """Scores of heads as a map by name."""
+    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*scores))
+
+
+def all_names(a: Column, b: Column) -> Column:
+    """Names of either array, each once."""
+    return F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
+
+
 # What may stand before a base source.
 SOURCE_PREFIXES = ["val", "altreal", "external"]
 

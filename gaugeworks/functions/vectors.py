@@ -45,22 +45,34 @@ def clamp(p: Column, lower: float = 0.0, upper: float = 1.0) -> Column:
     return F.when(p.isNotNull(), F.greatest(F.lit(lower), F.least(F.lit(upper), p)))
 
 
-def focal_loss(p: Column, label: Column, gamma: float = 2.0, alpha: float | None = 0.25, floor: float = 1e-12) -> Column:
+def focal_loss(p: Column, label: Column, gamma: float = 2.0, alpha: float | None = 0.5, floor: float = 1e-12) -> Column:
     """Focal loss of one score: alpha_t (1 - p_t)^gamma (-log p_t)."""
     pt = F.greatest(F.when(label >= 1, p).otherwise(F.lit(1.0) - p), F.lit(floor))
     weight = F.lit(1.0) if alpha is None else F.when(label >= 1, F.lit(alpha)).otherwise(F.lit(1 - alpha))
     return weight * F.pow(F.lit(1.0) - pt, F.lit(gamma)) * -F.log(pt)
 
 
+def cosine_warmup(step: Column, total: int, warmup: int) -> Column:
+    """Factor of the learning rate at a step: linear to 1 over the warm-up, then half a cosine down to 0."""
+    t = (step - warmup) / F.lit(float(max(1, total - warmup)))
+    return F.when(step < warmup, (step + 1) / F.lit(float(max(1, warmup)))).otherwise(F.lit(0.5) * (1 + F.cos(F.lit(3.141592653589793) * t)))
+
+
 def usable(v: Column, dim: int) -> Column:
     """Right length, no null, NaN or infinite element."""
     return v.isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 
 
 def column_stats(df: DataFrame, vector: str) -> DataFrame:
-    """(pos, mean, std): mean and population deviation of each element over all rows; two floats for each dimension reach
-    the next stage, whatever the number of rows."""
-    return df.select(F.posexplode(vector).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("std"))
+    """(pos, mean, std): mean and population deviation of each element over all rows. One vector of moments for each task is
+    sent, whatever the number of rows; null vectors take no part. Spark's deviation is that of a sample, so it is scaled."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    s = df.filter(F.col(vector).isNotNull()).select(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(vector))).alias("s"))
+    d = s.select(F.col("s.count").alias("n"), F.arrays_zip(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance")).alias("e"))
+    d = d.select("n", F.posexplode("e").alias("pos", "e"))
+    return d.select("pos", F.col("e.mean").alias("mean"), F.sqrt(F.col("e.variance") * (F.col("n") - 1) / F.col("n")).alias("std"))
 
 
 def scores(df: DataFrame, vector: str, heads: dict[str, tuple[list[list[float]], list[float]]]) -> DataFrame:

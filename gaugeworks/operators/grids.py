@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import save
 from .roc import metrics
 
 
@@ -63,7 +64,7 @@ def counterfactual(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     share of reals flagged (score > threshold). The four columns become rows of one grouped pass."""
     views = {"clean": ("clean", "clean"), "both": ("degraded", "degraded"), "fakes_only": ("degraded", "clean"), "reals_only": ("clean", "degraded")}
     rows = F.array(*[F.struct(F.lit(v).alias("view"), F.when(F.col("label") >= 1, F.col(f)).otherwise(F.col(r)).alias("score")) for v, (f, r) in views.items()])
-    long = df.select("label", F.inline(rows))
+    long = save(df.select("label", F.inline(rows)), "views")
     flagged = long.filter("label = 0").groupBy("view").agg(F.avg(F.when(F.col("score") > threshold, 1.0).otherwise(0.0)).alias("reals_flagged"))
     return metrics(long, ["view"]).select("view", "n_fake", "n_real", "auc").join(flagged, "view", "left")
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import save
+
 #: Score ranges of the two-level running totals; scores outside 0 to 1 fall to the outermost ranges.
 RANGES = 1024
 
@@ -31,7 +33,9 @@ def _range(c: str, lower: float = 0.0, upper: float = 1.0) -> Column:
 
 
 def cumulate(counts: DataFrame, group: list[str], columns: list[str], lower: float = 0.0, upper: float = 1.0) -> DataFrame:
-    """Add, for each column, <column>_below (its sum over strictly smaller scores of the group) and <column>_all."""
+    """Add, for each column, <column>_below (its sum over strictly smaller scores of the group) and <column>_all. The counts
+    are written first: they are used twice, and what they are made of is read once."""
+    counts = save(counts, "counts")
     d = counts.withColumn("_range", _range("score", lower, upper))
     per = d.groupBy(*group, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,11 +129,12 @@ def fpr_curve(df: DataFrame, points: int = 201, score: str = "score", label: str
 
     A histogram of the points that a score just reaches, then a running sum over the `points` rows.
     """
-    c = score_counts(df, [], score, label).filter((F.col("neg") > 0) & (F.col("score") >= 0))
+    counts = save(score_counts(df, [], score, label), "counts")
+    c = counts.filter((F.col("neg") > 0) & (F.col("score") >= 0))
     last = F.least(F.floor(F.col("score") * (points - 1)), F.lit(points - 1)).cast("int")
     up = F.when((last + 1) / F.lit(points - 1) <= F.col("score"), last + 1).otherwise(F.when(last / F.lit(points - 1) > F.col("score"), last - 1).otherwise(last))
     per = c.groupBy(F.least(up, F.lit(points - 1)).alias("i")).agg(F.sum("neg").alias("n"))
-    total = score_counts(df, [], score, label).agg(F.sum("neg").alias("total"))
+    total = counts.agg(F.sum("neg").alias("total"))
     grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("i"))
     w = Window.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # `points` rows
     d = grid.join(per, "i", "left").select("i", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("n"))
@@ -137,12 +142,16 @@ def fpr_curve(df: DataFrame, points: int = 201, score: str = "score", label: str
 
 
 def auc_vs_all_negatives(df: DataFrame, group: str, score: str = "score", label: str = "label", least: int = 20, first: str | None = None) -> DataFrame:
-    """(group, n_fake, auc, mean_score): AUC of each group's positives against all negatives; groups under `least` are left out.
+    """(group, n_fake, auc, mean_score), lowest AUC first: AUC of each group's positives against all negatives; groups under
+    `least` are left out. first: a column that describes the group, of which the smallest value is handed on.
 
-    The share of negatives below each distinct score is computed once and joined to the groups' counts of that score, so
-    negatives are never repeated for each group.
+    One table of counts by group and score serves both sides: the negatives of all groups are added up for each distinct
+    score, and their share below it is joined to the groups' counts, so that negatives are never repeated for each group.
     """
-    c = cumulate(score_counts(df, [], score, label), [], ["neg"]).select("score", ((F.col("neg_below") + F.col("neg") * F.lit(0.5)) / F.col("neg_all")).alias("beats"))
-    pos = df.filter((F.col(label) >= 1) & F.col(score).isNotNull() & ~F.isnan(score)).groupBy(group, (F.col(score) + F.lit(0.0)).alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    d = pos.join(c, "score").groupBy(group).agg(F.sum("n").alias("n_fake"), (F.sum(F.col("n") * F.col("beats")) / F.sum("n")).alias("auc"), (F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("mean_score"))
-    return d.filter(F.col("n_fake") >= least)
+    used = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
+    more = [F.min(first).alias(first)] if first else []
+    counts = save(used.groupBy(group, (F.col(score) + F.lit(0.0)).alias("score")).agg(count_if(F.col(label) >= 1).alias("pos"), count_if(F.col(label) == 0).alias("neg"), *more), "counts")
+    every = counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    c = cumulate(every, [], ["neg"]).select("score", ((F.col("neg_below") + F.col("neg") * F.lit(0.5)) / F.col("neg_all")).alias("beats"))
+    d = counts.filter("pos > 0").join(c, "score").groupBy(group).agg(F.sum("pos").alias("n_fake"), (F.sum(F.col("pos") * F.col("beats")) / F.sum("pos")).alias("auc"), (F.sum(F.col("pos") * F.col("score")) / F.sum("pos")).alias("mean_score"), *more)
+    return d.filter(F.col("n_fake") >= least).orderBy("auc", group)

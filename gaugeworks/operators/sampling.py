@@ -48,9 +48,35 @@ def _take(df: DataFrame, per: DataFrame, seed: int, key: str, by: list[str]) ->
 
 
 def grouped_split(df: DataFrame, group: str, seed: int, part: float = 1 / 3) -> DataFrame:
-    """Add `part`: whole groups go to 'test' or 'train'; the share of test holds for groups, by a hash of the group."""
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(str(seed)), F.col(group))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return df.withColumn("part", F.when(u < part, "test").otherwise("train"))
+    """Add `part`: the first floor(part x groups) groups in the order of a hash go to 'test', whole, the others to 'train'.
+    Rows of a null group go to 'train'."""
+    groups = df.select(F.col(group).cast("string").alias("_group")).filter("_group is not null").distinct().withColumn("_all", F.lit(0))
+    quota = groups.groupBy("_all").agg(F.floor(F.count(F.lit(1)) * F.lit(part) + F.lit(1e-9)).cast("long").alias("_quota"))
+    test = _take(groups, quota, seed, "_group", ["_all"]).select("_group", F.lit("test").alias("_part"))
+    d = df.withColumn("_group", F.col(group).cast("string")).join(test, "_group", "left")
+    return d.withColumn("part", F.coalesce("_part", F.lit("train"))).drop("_group", "_part")
+
+
+def weighted_draws(df: DataFrame, n: int, seed: int, key: str = "path", weight: str = "weight") -> DataFrame:
+    """About n draws with replacement in proportion to `weight`: every row with `draws`, how often it was drawn, at least 1.
+
+    Draws of a row are Poisson with mean n x weight / total, the limit of drawing with replacement, so that no row has to
+    know of another; the total is an aggregate. A mean above 50 is rounded up or down at random instead. Chance comes from a
+    hash of seed and key: the same on every run.
+    """
+    total = df.agg(F.sum(weight).alias("_total"))
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"draw{seed}"), F.col(key))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    d = df.crossJoin(total).withColumn("_mean", F.lit(float(n)) * F.col(weight) / F.col("_total")).withColumn("_u", u)  # one row
+    low = F.least("_mean", F.lit(50.0))
+    start = F.struct(F.lit(0).alias("k"), F.exp(-low).alias("term"), F.exp(-low).alias("sum"))
+
+    def step(s, _):  # how many partial sums of the Poisson distribution u reaches
+        more, term = F.col("_u") >= s["sum"], s["term"] * low / (s["k"] + 1)
+        return F.struct(F.when(more, s["k"] + 1).otherwise(s["k"]).alias("k"), F.when(more, term).otherwise(s["term"]).alias("term"), F.when(more, s["sum"] + term).otherwise(s["sum"]).alias("sum"))
+
+    few = F.aggregate(F.sequence(F.lit(1), F.lit(160)), start, step, lambda s: s["k"].cast("bigint"))
+    many = F.floor("_mean") + F.when(F.col("_u") < F.col("_mean") - F.floor("_mean"), 1).otherwise(0)
+    return d.withColumn("draws", F.when(F.col("_mean") <= 50, few).otherwise(many)).filter("draws > 0").drop("_total", "_mean", "_u")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

@@ -1,19 +1,25 @@
 """Score traces: rolling medians, averages, the two badge rules and what is told about a clip.
 
-A trace is one array of (t, p) for each key, ordered by seq; folds over it are native aggregate() expressions. A trace
-spans one clip, so its length is bounded by the clip and not by the table.
+What depends on the step before (average, badge) is a fold over the sorted rows of a clip, in linear time; the rest are
+windows and aggregates.
 """
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship
+from .folds import sorted_fold
+
 # Fixed values of the badge rules.
 RAISE_AT, CLEAR_AT, RAISE_AFTER, CLEAR_AFTER, DWELL = 0.9446, 0.70, 2, 5, 2.5
 ALPHA = 0.35
-SHARES = [0.5, 0.7, 0.9, 0.9446]
+SHARES = [0.1266, 0.5, 0.6388, 0.9446]
 
 
 def _order(key: str, order: str):
@@ -41,50 +47,75 @@ def traces(df: DataFrame, key: str = "vid", order: str = "seq", value: str = "p"
 
 
 def ema(df: DataFrame, key: str = "vid", order: str = "seq", value: str = "p", alpha: float = ALPHA) -> DataFrame:
-    """(key, seq, p, ema): e0 = p0, e = alpha p + (1 - alpha) e."""
-    start = F.array().cast("array<struct<seq:bigint,p:double,ema:double>>")
-    step = lambda acc, r: F.concat(acc, F.array(F.struct(r["seq"].cast("bigint").alias("seq"), r["p"].cast("double").alias("p"), F.when(F.size(acc) == 0, r["p"]).otherwise(F.lit(alpha) * r["p"] + F.lit(1 - alpha) * F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["ema"]).alias("ema"))))
-    return traces(df, key, order, value).select(key, F.inline(F.aggregate("trace", start, step)))
+    """(key, seq, p, ema): e0 = p0, e = alpha p + (1 - alpha) e. Rows without a value take no part."""
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(key).cast("string").alias(key), F.col(order).cast("bigint").alias("seq"), F.col(value).cast("double").alias("p")).distinct()
+    out = pa.schema([(key, pa.string()), ("seq", pa.int64()), ("p", pa.float64()), ("ema", pa.float64())])
+
+    def step(state, k, seq, p):
+        state["e"] = p if "e" not in state else alpha * p + (1 - alpha) * state["e"]
+        return [(k, seq, p, state["e"])]
+
+    return sorted_fold(rows, key, ["seq", "p"], out, dict, step)
+
+
+def median_of(values: list[float], upper: bool) -> float:
+    """Median, or the upper of the two middle values of an even number."""
+    v = sorted(values)
+    m = len(v) // 2
+    return v[m] if len(v) % 2 or upper else (v[m - 1] + v[m]) / 2
 
 
-def _badge(updates: Column, dwell: float | None) -> Column:
-    """Fold of the badge over updates (seq, t, med): states as array<struct<seq, on>>.
+def badge_step(state: dict, t: float | None, p: float, dwell: float | None, upper: bool) -> float | None:
+    """Advance a badge by one score; the median of the last five from the third score on.
 
     On after RAISE_AFTER updates in a row at RAISE_AT or more; off after CLEAR_AFTER in a row at CLEAR_AT or less. A value
     between them breaks the run that is being counted; both runs are zero after a change. With dwell, nothing counts
     towards off until that many seconds after the badge came on.
     """
-    state = "struct<on:boolean,up:int,down:int,since:double,out:array<struct<seq:bigint,med:double,on:boolean>>>"
-    zero = F.struct(F.lit(False).alias("on"), F.lit(0).alias("up"), F.lit(0).alias("down"), F.lit(None).cast("double").alias("since"), F.array().cast("array<struct<seq:bigint,med:double,on:boolean>>").alias("out")).cast(state)
+    state["raw"] = [*state["raw"], p][-5:]
+    state["n"] += 1
+    if state["n"] < 3:
+        return None
+    med = median_of(state["raw"], upper)
+    on = state["on"]
+    state["up"] = state["up"] + 1 if not on and med >= RAISE_AT else 0
+    state["down"] = state["down"] + 1 if on and med <= CLEAR_AT and (dwell is None or t - state["since"] >= dwell) else 0
+    if state["up"] >= RAISE_AFTER:
+        state |= {"on": True, "up": 0, "since": t, "raised": True, "med": med}
+    elif state["down"] >= CLEAR_AFTER:
+        state |= {"on": False, "down": 0}
+    return med
 
-    def step(s: Column, u: Column) -> Column:
-        up = F.when(~s["on"] & (u["med"] >= RAISE_AT), s["up"] + 1).otherwise(0)
-        counts = u["med"] <= CLEAR_AT
-        if dwell is not None:
-            counts = counts & (u["t"] - s["since"] >= dwell)
-        down = F.when(s["on"] & counts, s["down"] + 1).otherwise(0)
-        raised, cleared = up >= RAISE_AFTER, down >= CLEAR_AFTER
-        on = F.when(raised, True).when(cleared, False).otherwise(s["on"])
-        return F.struct(
-            on.alias("on"), F.when(raised, 0).otherwise(up).alias("up"), F.when(cleared, 0).otherwise(down).alias("down"), F.when(raised, u["t"].cast("double")).otherwise(s["since"]).alias("since"),
-            F.concat(s["out"], F.array(F.struct(u["seq"].cast("bigint").alias("seq"), u["med"].cast("double").alias("med"), on.alias("on")))).alias("out")).cast(state)
 
-    return F.aggregate(updates, zero, step, lambda s: s["out"])
+def badge_start() -> dict:
+    return {"raw": [], "n": 0, "on": False, "up": 0, "down": 0, "since": None, "top": 0.0, "trigger": (None, None), "raised": False, "med": None}
 
 
 def badge(df: DataFrame, key: str = "vid", dwell: float | None = None, upper: bool = False) -> DataFrame:
-    """(key, seq, med, on): state of the badge after each update, that is from the third score of a clip on."""
-    rows = df.filter(F.col("p").isNotNull()).select(key, "seq", "t", "p").distinct()
-    med = (rolling_upper_median if upper else rolling_median)(rows, key)
-    ups = med.filter("med is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "t", "med"))).alias("u"))
-    return ups.select(key, F.inline(_badge(F.col("u"), dwell)))
+    """(key, seq, med, on, top, trigger_seq, trigger_med): state of the badge at every scored frame of a clip.
+
+    The first two frames have no median and are off. top is the largest median so far (0 before there is one); the trigger
+    is the frame at which the badge last came on, and its median.
+    """
+    rows = df.filter(F.col("p").isNotNull()).select(F.col(key).cast("string").alias(key), F.col("seq").cast("bigint").alias("seq"), F.col("t").cast("double").alias("t"), F.col("p").cast("double").alias("p")).distinct()
+    out = pa.schema([(key, pa.string()), ("seq", pa.int64()), ("med", pa.float64()), ("on", pa.bool_()), ("top", pa.float64()), ("trigger_seq", pa.int64()), ("trigger_med", pa.float64())])
+
+    def step(state, k, seq, t, p):
+        med = badge_step(state, t, p, dwell, upper)
+        state["top"] = max(state["top"], med or 0.0)
+        if state["raised"]:
+            state |= {"trigger": (seq, state["med"]), "raised": False}
+        return [(k, seq, med, state["on"], state["top"], *state["trigger"])]
+
+    return sorted_fold(rows, key, ["seq", "t", "p"], out, badge_start, step)
 
 
 def badge_summary(states: DataFrame, key: str = "vid") -> DataFrame:
-    """(key, updates, on_fraction, transitions, max_median, headroom)."""
+    """(key, updates, on_fraction, transitions, max_median, headroom): every frame counts, also those before the first median."""
     before = F.lag("on").over(_order(key, "seq"))
     d = states.withColumn("_turn", F.when(before.isNotNull() & (before != F.col("on")), 1).otherwise(0))
-    return d.groupBy(key).agg(F.count(F.lit(1)).alias("updates"), F.avg(F.col("on").cast("double")).alias("on_fraction"), F.sum("_turn").alias("transitions"), F.max("med").alias("max_median"), (F.lit(RAISE_AT) - F.max("med")).alias("headroom"))
+    top = F.coalesce(F.max("med"), F.lit(0.0))
+    return d.groupBy(key).agg(F.count(F.lit(1)).alias("updates"), F.avg(F.col("on").cast("double")).alias("on_fraction"), F.sum("_turn").alias("transitions"), top.alias("max_median"), (F.lit(RAISE_AT) - top).alias("headroom"))
 
 
 def verdict(label: Column, on_fraction: Column, transitions: Column) -> Column:
@@ -126,3 +157,6 @@ def recent_rate(df: DataFrame, key: str = "vid", order: str = "seq", time: str =
 def recent(trace: Column, n: int) -> Column:
     """The last n entries."""
     return F.slice(trace, -F.least(F.lit(n), F.greatest(F.size(trace), F.lit(1))), n)
+
+
+ship(sys.modules[__name__])

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import strings as S
 from ..functions import vectors as V
 from ..operators import grids, leakage, models, roc, sampling, traces, windows
+from ..storage import filesystem, save, shared_folder
 from . import tables as T
 from .tables import FRAMES, PICTURES, SAMPLES, SCORED, VECTORS, plain_sql, with_
 
 #: Fixed weights of two linear heads on 64 numbers, made by rule.
 HEADS = {"ship": ([[0.0] * 64, [((i * 37) % 19 - 9) / 40 for i in range(64)]], [0.0, 0.1]), "gan": ([[0.01] * 64, [((i * 53) % 23 - 11) / 50 for i in range(64)]], [0.05, 0.0])}
-THRESHOLDS = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
-ARM = "giant_ship_linear"
+# Thresholds of the table.
+THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -56,8 +59,7 @@ def _sql_metrics(source: str, group: list[str], score: str = "score", label: str
         from (select {g}{score}, count(*) filter ({label} >= 1) as pos, count(*) filter ({label} = 0) as neg from {source} where {label} is not null and {score} is not null group by {g}{score})){tail}))"""
 
 
-def _curve(where: str) -> str:
-    return f"""counts as (select score, count(*) filter (label >= 1) as pos, count(*) filter (label = 0) as neg from scored where {where} group by score),
+_CURVE = """counts as (select score, count(*) filter (label >= 1) as pos, count(*) filter (label = 0) as neg from scored group by score),
 curve as (select score as threshold, (sum(pos) over (order by score desc))::bigint as tp, (sum(neg) over (order by score desc))::bigint as fp,
   sum(pos) over () as pn, sum(neg) over () as nn from counts),
 vertices as (select * from (select *, (lead(tp) over w - tp) - (tp - lag(tp) over w) as dt, (lead(fp) over w - fp) - (fp - lag(fp) over w) as df from curve window w as (order by threshold desc)) where dt is null or dt <> 0 or df <> 0)"""
@@ -87,20 +89,20 @@ def binary_metrics(spark, d):
     return _round(roc.metrics(T.scored(spark, d), ["arm"]), "auc", "err", "acc", "bal_acc", "majority_baseline")
 
 
-@query(with_(SCORED, _curve(f"arm = '{ARM}'")) + "select threshold, tp, fp, round(tp / pn, 6) as tpr, round(fp / nn, 6) as fpr from curve")
+@query(with_(SCORED, _CURVE) + "select threshold, tp, fp, round(tp / pn, 6) as tpr, round(fp / nn, 6) as fpr from curve")
 def roc_curve(spark, d):
-    return _round(roc.roc_curve(T.scored(spark, d).filter(F.col("arm") == ARM), []), "tpr", "fpr")
+    return _round(roc.roc_curve(T.scored(spark, d), []), "tpr", "fpr")
 
 
-@query(with_(SCORED, _curve(f"arm = '{ARM}'")) + "select threshold, tp, fp from vertices")
+@query(with_(SCORED, _CURVE) + "select threshold, tp, fp from vertices")
 def roc_vertices(spark, d):
-    return roc.roc_vertices(roc.roc_curve(T.scored(spark, d).filter(F.col("arm") == ARM), []), []).select("threshold", "tp", "fp")
+    return roc.roc_vertices(roc.roc_curve(T.scored(spark, d), []), []).select("threshold", "tp", "fp")
 
 
-@query(with_(SCORED, _curve(f"arm = '{ARM}'")) + """select r as max_fpr, arg_min(threshold, threshold) filter (fp / nn <= r) as threshold, coalesce(round(max(fp / nn) filter (fp / nn <= r), 6), 0) as fpr, coalesce(round(max(tp / pn) filter (fp / nn <= r), 6), 0) as tpr
+@query(with_(SCORED, _CURVE) + """select r as max_fpr, arg_min(threshold, threshold) filter (fp / nn <= r) as threshold, coalesce(round(max(fp / nn) filter (fp / nn <= r), 6), 0) as fpr, coalesce(round(max(tp / pn) filter (fp / nn <= r), 6), 0) as tpr
 from vertices, (select unnest([0.001::double, 0.01, 0.05]) as r) group by r""")
 def operating_points(spark, d):
-    return _round(roc.operating_points(roc.roc_curve(T.scored(spark, d).filter(F.col("arm") == ARM), []), []), "fpr", "tpr")
+    return _round(roc.operating_points(roc.roc_curve(T.scored(spark, d), []), []), "fpr", "tpr")
 
 
 @query(with_(SCORED, _CURVES) + "select arm, threshold, tp, fp, round(tp / pn, 6) as tpr, round(fp / nn, 6) as fpr from curve")
@@ -137,16 +139,15 @@ p as (select source, score, count(*) as k from scored_pictures where label >= 1
   select p.*, (select (coalesce(sum(case when neg.score < p.score then neg.n end), 0) + 0.5::double * coalesce(sum(case when neg.score = p.score then neg.n end), 0)) / sum(neg.n) from neg) as beats from p)
 group by source having sum(k) >= 20""")
 def auc_per_group_vs_all_negatives(spark, d):
-    scored = T.scored(spark, d)
-    fakes = scored.filter("label >= 1").join(T.pictures(spark, d).select("path", "source"), "path", "left")
-    both = fakes.filter("source is not null").select("source", "score", "label").unionByName(scored.filter("label = 0").select(F.lit(None).cast("string").alias("source"), "score", "label"))
-    return _round(roc.auc_vs_all_negatives(both, "source"), "auc", "mean_score")
+    both = T.scored(spark, d).join(T.pictures(spark, d).select("path", "source"), "path", "left").filter("source is not null or label = 0")
+    grouped = both.withColumn("source", F.when(F.col("label") >= 1, F.col("source")))  # reals belong to no group
+    return _round(roc.auc_vs_all_negatives(grouped, "source"), "auc", "mean_score")
 
 
 @query(with_(SCORED) + f"select round(auc, 6) as overall, round(auc, 6) as weighted from {_sql_metrics('scored', [])}")
 def weighted_auc_identity(spark, d):
     """The weighted mean of the groups' AUC against all negatives is the overall AUC."""
-    s = T.scored(spark, d)
+    s = save(T.scored(spark, d).select("arm", "score", "label"), "scored")
     per = roc.auc_vs_all_negatives(s, "arm", least=1)
     return roc.auc(s, []).crossJoin(per.agg((F.sum(F.col("n_fake") * F.col("auc")) / F.sum("n_fake")).alias("weighted"))).select(F.round("auc", 6).alias("overall"), F.round("weighted", 6).alias("weighted"))  # one row each
 
@@ -179,11 +180,12 @@ def topk_errors(spark, d):
     return grids.top_errors(T.scored(spark, d)).select("err_id", "path", "score", "label", "tag")
 
 
-@query(with_(SCORED) + "select tag, err_id, round(abs(score - label), 6) as miss, row_number() over (partition by tag order by abs(score - label) desc, err_id)::int as place from scored where arm = '" + ARM + "'")
+@query(with_(SCORED, f"top as ((select {_TOP} = 0 order by score desc, ord, path, err_id limit 20) union all (select {_TOP} >= 1 order by score, ord, path, err_id limit 20))") + "select tag, err_id, round(abs(score - label), 6) as miss, row_number() over (order by tag, abs(score - label) desc, err_id)::int as place from top")
 def contact_sheet_order(spark, d):
+    """The most confident errors in the order of their contact sheet: by condition, the furthest from their label first."""
     miss = F.abs(F.col("score") - F.col("label"))
-    w = Window.partitionBy("tag").orderBy(F.desc(miss), "err_id")
-    return T.scored(spark, d).filter(F.col("arm") == ARM).select("tag", "err_id", F.round(miss, 6).alias("miss"), F.row_number().over(w).alias("place"))
+    w = Window.orderBy("tag", F.desc(miss), "err_id")  # 40 rows
+    return grids.top_errors(T.scored(spark, d)).select("tag", "err_id", F.round(miss, 6).alias("miss"), F.row_number().over(w).alias("place"))
 
 
 @query(with_(SCORED) + "select arm, tag, err_id, round(abs(score - label), 6) as miss, row_number() over (partition by arm, tag order by abs(score - label) desc, err_id)::int as place from scored")
@@ -223,13 +225,13 @@ def view_average_pivot(spark, d):
     return _round(wide.withColumn("gain", F.col("two_views") - F.col("single_view")), "single_view", "two_views", "gain")
 
 
-@query(with_(SCORED) + """select arm, round(auc, 3) as clean_auc, n_fake, n_real, case when n_real > 0 then '1:' || format('{:,.2f}', n_fake::double / n_real) end as class_ratio from """ + _sql_metrics("(select * from scored where tag = 'clean')", ["arm"]))
+@query(with_(SCORED) + """select arm, round(auc, 3) as clean_auc, n_fake, n_real, case when n_real > 0 then '1:' || format('{:.2f}', n_fake::double / n_real) end as class_ratio from """ + _sql_metrics("(select * from scored where tag = 'clean')", ["arm"]))
 def arm_leaderboard(spark, d):
     m = roc.metrics(T.scored(spark, d).filter("tag = 'clean'"), ["arm"])
     return m.select("arm", F.round("auc", 3).alias("clean_auc"), "n_fake", "n_real", S.class_ratio(F.col("n_real"), F.col("n_fake")).alias("class_ratio"))
 
 
-@query(with_(SCORED) + "select tag, round(avg(case when label >= 1 then 0.25 else 0.75 end * pow(1 - pt, 2) * -ln(pt)), 6) as loss from (select *, greatest(case when label >= 1 then score else 1 - score end, 1e-12) as pt from scored) group by tag")
+@query(with_(SCORED) + "select tag, round(avg(0.5 * pow(1 - pt, 2) * -ln(pt)), 6) as loss from (select *, greatest(case when label >= 1 then score else 1 - score end, 1e-12) as pt from scored) group by tag")
 def focal_loss(spark, d):
     s = T.scored(spark, d)
     return s.groupBy("tag").agg(F.round(F.avg(V.focal_loss(F.col("score"), F.col("label"))), 6).alias("loss"))
@@ -317,7 +319,7 @@ def stratified_draws(spark, d):
     return sampling.stratified_draws(s, 100, 5, "split", "key").select("sample_id", "split", "label")
 
 
-@query(with_(SAMPLES) + f"select sample_id, case when ('0x' || substr({_md5(11, 'source')}, 1, 8))::bigint / 4294967296.0::double < 1 / 3::double then 'test' else 'train' end as part from s where source is not null")
+@query(with_(SAMPLES, f"g as (select source, row_number() over (order by {_md5(11, 'source')}, source) as n, count(*) over () as c from (select distinct source from s where source is not null))") + "select sample_id, case when g.n <= floor(g.c / 3) then 'test' else 'train' end as part from s join g using (source)")
 def grouped_split(spark, d):
     return sampling.grouped_split(T.samples(spark, d).filter("source is not null"), "source", 11).select("sample_id", "part")
 
@@ -374,14 +376,8 @@ def split_intersection(spark, d):
 
 # ---- conditions, plans, vectors -------------------------------------------------------------------------------------
 
-@query(with_(SAMPLES) + "select sample_id, c.ord, c.tag, c.transform, c.level, case when c.level is null then c.transform else c.transform || '_' || c.level end as name from s, conditions c where s.split = 'test'")
-def condition_expansion(spark, d):
-    e = grids.expand_conditions(T.samples(spark, d).filter("split = 'test'").select("sample_id"), T.table(spark, d, "conditions"))
-    return e.select("sample_id", "ord", "tag", "transform", "level", S.condition_tag(F.col("transform"), F.col("level")).alias("name"))
-
-
 @query(with_(SAMPLES) + "select sample_id, s.split, c.ord, c.tag, c.transform, c.level, case when c.level is null then c.transform else c.transform || '_' || c.level end as name from s, conditions c where s.split in ('val', 'alt_real', 'test')")
-def condition_expansion_evaluation(spark, d):
+def condition_expansion(spark, d):
     e = grids.expand_conditions(T.samples(spark, d).filter(F.col("split").isin("val", "alt_real", "test")).select("sample_id", "split"), T.table(spark, d, "conditions"))
     return e.select("sample_id", "split", "ord", "tag", "transform", "level", S.condition_tag(F.col("transform"), F.col("level")).alias("name"))
 
@@ -485,7 +481,7 @@ def ema_scores(spark, d):
 def _badge_sql(med: str, dwell: float | None) -> list[str]:
     """The badge as a recursion over updates: state is (on, up, down, since), updated from the state before."""
     counts = f"u.med <= {traces.CLEAR_AT}" + (f" and u.t - b.since >= {dwell}" if dwell else "")
-    return [FRAMES, med, "u as (select vid, seq, t, med, row_number() over (partition by vid order by seq) as n from m where med is not null)",
+    return [FRAMES, med, "u as (select vid, seq, t, med, row_number() over (partition by vid order by seq) as n from m)",
         f"""b as (
   select vid, seq, n, med, false as badge, (case when med >= {traces.RAISE_AT} then 1 else 0 end) as up, 0 as down, null::double as since from u where n = 1
   union all
@@ -497,15 +493,15 @@ def _badge_sql(med: str, dwell: float | None) -> list[str]:
 
 @query(with_(*_badge_sql(_MED, None)) + "select vid, seq, round(med, 6) as med, badge from b")
 def hysteresis_badge(spark, d):
-    return _round(traces.badge(T.frames(spark, d)).withColumnRenamed("on", "badge"), "med")
+    return traces.badge(T.frames(spark, d)).select("vid", "seq", F.round("med", 6).alias("med"), F.col("on").alias("badge"))
 
 
 @query(with_(*_badge_sql(_UPPER, traces.DWELL)) + "select vid, seq, round(med, 6) as med, badge from b")
 def hysteresis_dwell(spark, d):
-    return _round(traces.badge(T.frames(spark, d), dwell=traces.DWELL, upper=True).withColumnRenamed("on", "badge"), "med")
+    return traces.badge(T.frames(spark, d), dwell=traces.DWELL, upper=True).select("vid", "seq", F.round("med", 6).alias("med"), F.col("on").alias("badge"))
 
 
-_SUMMARY = "sm as (select vid, count(*) as updates, avg(badge::int) as on_fraction, (sum(turn))::bigint as transitions, max(med) as max_median from (select *, case when badge <> lag(badge) over (partition by vid order by seq) then 1 else 0 end as turn from b) group by vid)"
+_SUMMARY = "sm as (select vid, count(*) as updates, avg(badge::int) as on_fraction, (sum(turn))::bigint as transitions, coalesce(max(med), 0) as max_median from (select *, case when badge <> lag(badge) over (partition by vid order by seq) then 1 else 0 end as turn from b) group by vid)"
 _LABEL = "case when ('0x' || substr(md5(vid), 1, 2))::int % 2 = 0 then 'ai' else 'real' end"
 
 
@@ -520,12 +516,21 @@ def clip_verdict(spark, d):
     return _round(s.drop("label"), "on_fraction", "max_median", "headroom")
 
 
-@query(with_(*_badge_sql(_MED, None), _SUMMARY) + f"""select count(*) as clips, count(*) filter (label = 'ai' and on_fraction > 0.5) as flagged_ai, count(*) filter (label = 'real' and on_fraction > 0.02) as false_alarms, round(avg(on_fraction), 6) as mean_on, round(median(max_median), 6) as median_max from (select *, {_LABEL} as label from sm)""")
+_CORR = "select vid, round(case when count(*) <= 2 or stddev_pop(p) <= 1e-9 or c is null or isnan(c) then 1.0 else c end, 6) as frame_corr from (select *, lag(p) over (partition by vid order by seq) as q from f) join (select vid as v2, corr(q, p) as c from (select *, lag(p) over (partition by vid order by seq) as q from f) group by vid) on vid = v2 group by vid, c"
+
+
+@query(with_(*_badge_sql(_MED, None), _SUMMARY, f"cr as ({_CORR})", f"md as (select vid, median(p) as mid, {', '.join(f'avg((p >= {t})::int) as s{i}' for i, t in enumerate(traces.SHARES))} from f group by vid)") + f"""select count(*) as clips, count(*) filter (label = 'ai' and on_fraction > 0.5) as flagged_ai, count(*) filter (label = 'real' and on_fraction > 0.02) as false_alarms, round(avg(on_fraction), 6) as mean_on,
+  round(median(mid) filter (label = 'ai'), 6) as median_ai, round(median(mid) filter (label = 'real'), 6) as median_real, round(avg(frame_corr), 5) as mean_corr, {', '.join(f"round(avg(s{i}) filter (label = '{k}'), 6) as share_{k}_{i}" for i in range(len(traces.SHARES)) for k in ('ai', 'real'))} from (select *, {_LABEL} as label from sm) join cr using (vid) join md using (vid)""")
 def clip_totals(spark, d):
+    """What is told about all clips: flagged and false alarms, mean shares, medians of medians, mean correlation of frames."""
     label = F.when(F.conv(F.substring(F.md5("vid"), 1, 2), 16, 10).cast("int") % 2 == 0, "ai").otherwise("real")
-    s = traces.badge_summary(traces.badge(T.frames(spark, d))).withColumn("label", label)
+    f = save(T.frames(spark, d).select("vid", "seq", "t", "p"), "frames")
+    shares = [f"frac_ge_{str(t).replace('.', '_')}" for t in traces.SHARES]
+    s = traces.badge_summary(traces.badge(f)).join(_round(traces.lag_correlation(f), "frame_corr"), "vid").join(traces.trace_stats(f).select("vid", "median_p", *shares), "vid").withColumn("label", label)
+    of = lambda k, c: F.when(F.col("label") == k, F.col(c))
     return s.agg(F.count(F.lit(1)).alias("clips"), F.count_if((F.col("label") == "ai") & (F.col("on_fraction") > 0.5)).alias("flagged_ai"), F.count_if((F.col("label") == "real") & (F.col("on_fraction") > 0.02)).alias("false_alarms"),
-        F.round(F.avg("on_fraction"), 6).alias("mean_on"), F.round(F.percentile("max_median", F.lit(0.5)), 6).alias("median_max"))
+        F.round(F.avg("on_fraction"), 6).alias("mean_on"), F.round(F.percentile(of("ai", "median_p"), F.lit(0.5)), 6).alias("median_ai"), F.round(F.percentile(of("real", "median_p"), F.lit(0.5)), 6).alias("median_real"), F.round(F.avg("frame_corr"), 5).alias("mean_corr"),
+        *[F.round(F.avg(of(k, c)), 6).alias(f"share_{k}_{i}") for i, c in enumerate(shares) for k in ("ai", "real")])
 
 
 @query(with_(FRAMES) + "select vid, count(*) as n, min(p) as min_p, round(quantile_cont(p, 0.05), 9) as p05, round(median(p), 9) as median_p, round(avg(p), 9) as mean_p, round(quantile_cont(p, 0.95), 9) as p95, max(p) as max_p, " + ", ".join(f"round(avg((p >= {t})::int), 9) as frac_ge_{str(t).replace('.', '_')}" for t in traces.SHARES) + " from f group by vid")
@@ -533,7 +538,7 @@ def trace_stats(spark, d):
     return _round(traces.trace_stats(T.frames(spark, d)), "p05", "median_p", "mean_p", "p95", *[f"frac_ge_{str(t).replace('.', '_')}" for t in traces.SHARES], digits=9)
 
 
-@query(with_(FRAMES) + "select vid, round(case when count(*) <= 2 or stddev_pop(p) <= 1e-9 or c is null or isnan(c) then 1.0 else c end, 6) as frame_corr from (select *, lag(p) over (partition by vid order by seq) as q from f) join (select vid as v2, corr(q, p) as c from (select *, lag(p) over (partition by vid order by seq) as q from f) group by vid) on vid = v2 group by vid, c")
+@query(with_(FRAMES) + _CORR)
 def lag1_corr(spark, d):
     return _round(traces.lag_correlation(T.frames(spark, d)), "frame_corr")
 
@@ -569,54 +574,73 @@ def minute_windows(spark, d):
     return f.groupBy("vid", F.unix_micros(minute.cast("timestamp")).alias("minute_us")).agg(F.count(F.lit(1)).alias("frames"), F.count("p").alias("scored"))
 
 
-@query()
+@query(with_(*_badge_sql(_MED, None)) + "select vid, seq, round(med, 6) as med, badge from b")
 def stream_badge(spark, d):
-    """The badge by Structured Streaming over the files of the table, in the order of their arrival."""
-    import tempfile
-
+    """The badge by Structured Streaming over the table's frames, all of which arrive in one micro-batch in any order."""
     from ..streaming import badge as B
 
-    source = spark.readStream.schema(T.table(spark, d, "frame_scores").schema).parquet(f"{d}/frame_scores.parquet*")
-    out = B.badge_stream(source.filter("ok"))
-    name = "badges_" + tempfile.mktemp(dir="").strip("/").replace("-", "_")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    B.run_to_table(out, name, f"{folder}/{name}")
-    return spark.table(name)
+    folder = f"{shared_folder(spark)}/gaugeworks/stream-{uuid.uuid4().hex}"
+    fs, p = filesystem(spark, folder)
+    fs.deleteOnExit(p)
+    T.frames(spark, d).select("vid", "seq", "t", "p").write.parquet(f"{folder}/frames")
+    source = spark.readStream.schema("vid string, seq bigint, t double, p double").parquet(f"{folder}/frames")
+    out = B.run_to_table(B.badge_stream(source, idle_ms=None), f"{folder}/badges", f"{folder}/checkpoint")
+    return out.select("vid", "seq", F.round("med", 6).alias("med"), "badge")
 
 
 # ---- archives, feed, heads ------------------------------------------------------------------------------------------
 
-_MEMBERS = SAMPLES + """,
-members as (select regexp_replace(source, '^((""" + "|".join(S.SOURCE_PREFIXES) + """):)+', '') as archive, sample_id, width::bigint * height as size,
-  coalesce(sum(width::bigint * height + (sample_id % 7) * 300000) over (partition by regexp_replace(source, '^((""" + "|".join(S.SOURCE_PREFIXES) + """):)+', '') order by sample_id rows between unbounded preceding and 1 preceding), 0)::bigint as offset_ from s where source is not null and width is not null and height is not null),
-gaps as (select *, max(offset_ + size) over (partition by archive order by offset_, sample_id rows between unbounded preceding and 1 preceding) as before from members),
-islands as (select *, (sum(case when before is null or offset_ - before > """ + str(windows.MAX_GAP) + """ then 1 else 0 end) over (partition by archive order by offset_, sample_id))::bigint as island from gaps)"""
+_ARCHIVE = "regexp_replace(source, '^((" + "|".join(S.SOURCE_PREFIXES) + "):)+', '')"
+_MEMBERS = SAMPLES + f""",
+members as (select {_ARCHIVE} as archive, sample_id, path as name, width::bigint * height as size,
+  coalesce(sum(width::bigint * height + (sample_id % 7) * 300000) over (partition by {_ARCHIVE} order by sample_id rows between unbounded preceding and 1 preceding), 0)::bigint as offset_
+  from s where source is not null and width is not null and height is not null and path is not null),
+ends as (select *, offset_ + {windows.HEADER + windows.EXTRA} + strlen(name) + size as stop from members),
+gaps as (select *, lag(stop) over (partition by archive order by offset_, name) as before from ends),
+islands as (select *, (sum(case when before is null or offset_ - before > {windows.MAX_GAP} then 1 else 0 end) over (partition by archive order by offset_, name))::bigint as island from gaps)"""
 
 
 def _members(spark, d):
     """Archive directories made from the manifest: the size of a member is its area, and some leave a gap behind."""
-    s = T.samples(spark, d).filter("source is not null and width is not null and height is not null")
-    s = s.select(S.base_source(F.col("source")).alias("archive"), "sample_id", (F.col("width").cast("bigint") * F.col("height")).alias("size"))
+    s = T.samples(spark, d).filter("source is not null and width is not null and height is not null and path is not null")
+    s = s.select(S.base_source(F.col("source")).alias("archive"), "sample_id", F.col("path").alias("name"), (F.col("width").cast("bigint") * F.col("height")).alias("size"))
     w = Window.partitionBy("archive").orderBy("sample_id").rowsBetween(Window.unboundedPreceding, -1)
     return s.withColumn("offset", F.coalesce(F.sum(F.col("size") + (F.col("sample_id") % 7) * 300000).over(w), F.lit(0)))
 
 
-@query(with_(_MEMBERS) + "select archive, island, min(offset_) as start, max(offset_ + size) as stop, count(*) as members from islands group by archive, island")
+@query(with_(_MEMBERS) + "select archive, island, min(offset_) as start, max(stop) as stop, count(*) as members from islands group by archive, island")
 def gap_islands(spark, d):
-    return windows.gap_windows(_members(spark, d)).groupBy("archive", "island").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("size")).alias("stop"), F.count(F.lit(1)).alias("members"))
+    return windows.gap_windows(_members(spark, d)).groupBy("archive", "island").agg(F.min("offset").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("members"))
 
 
-@query(with_(_MEMBERS, "o as (select *, row_number() over (partition by archive, island order by offset_, size) as n from islands)",
+@query(with_(_MEMBERS, "o as (select *, row_number() over (partition by archive order by offset_, name) as n from ends)",
     f"""wn as (
-  select archive, island, n, offset_ as start, offset_ + size as stop, 1 as members, 1 as win from o where n = 1
+  select archive, n, offset_ as start, stop, 1 as members, 1 as win from o where n = 1
   union all
-  select o.archive, o.island, o.n, case when cut then o.offset_ else start end, case when cut then o.offset_ + o.size else greatest(stop, o.offset_ + o.size) end, case when cut then 1 else members + 1 end, case when cut then win + 1 else win end
-  from (select wn.*, o2.offset_ as o_off, o2.size as o_size, greatest(wn.stop, o2.offset_ + o2.size) - wn.start > {windows.MAX_WINDOW} as cut from wn join o o2 on o2.archive = wn.archive and o2.island = wn.island and o2.n = wn.n + 1) w join o on o.archive = w.archive and o.island = w.island and o.n = w.n + 1)""") +
-    "select archive, island, max(start) as start, max(stop) as stop, max(members) as members from wn group by archive, island, win")
+  select archive, n2, case when cut then begins else start end, stop2, case when cut then 1 else members + 1 end, case when cut then win + 1 else win end
+  from (select wn.*, o.n as n2, o.offset_ as begins, o.stop as stop2, o.stop - wn.start > {windows.MAX_WINDOW} or o.offset_ - wn.stop > {windows.MAX_GAP} as cut from wn join o on o.archive = wn.archive and o.n = wn.n + 1))""") +
+    "select archive, max(start) as start, max(stop) as stop, max(members)::int as members from wn group by archive, win")
 def byte_windows(spark, d):
     return windows.byte_windows(_members(spark, d))
 
 
+@query(with_(_MEMBERS) + f"select archive, name, size from (select archive, name, size, row_number() over (partition by 1 order by {_md5(4, 'name')}, name) as n from members where contains(name, '/images/')) where n <= 300")
+def archive_select(spark, d):
+    """Members whose name holds a piece: a seeded choice of 300, as a fetch by offset would take them."""
+    return windows.select_members(_members(spark, d), "/images/", 300, 4).select("archive", "name", "size")
+
+
+@query("""with c as (select vid, max(width_) as w, max(bytes) as size, count(*) as n from (select vid, (seq % 5) * 320 as width_, seq * 9000 as bytes from (select distinct on (vid, seq) * from frame_scores)) group by vid)
+select vid, coalesce(nullif(concat_ws(', ', case when w <> 1280 then 'width ' || w end, case when size < 100000 then 'under 100 KB' end, case when n / 2.0 not between 3.0 and 14.0 then 'dur ' || format('{:.1f}', n / 2.0::double) || 's' end, case when not regexp_full_match(vid, '[a-z0-9_]+') then 'bad id' end), ''), 'ok') as problems from c""")
+def clip_problems(spark, d):
+    """Validation predicates of clips joined to a text; sizes are made from the frames, as the table has none."""
+    f = T.table(spark, d, "frame_scores").dropDuplicates(["vid", "seq"])
+    c = f.groupBy("vid").agg(F.max((F.col("seq") % 5) * 320).alias("w"), F.max(F.col("seq") * 9000).alias("size"), F.count(F.lit(1)).alias("n"))
+    seconds = F.col("n") / F.lit(2.0)
+    found = S.problems([(F.col("w") != 1280, F.concat(F.lit("width "), "w")), (F.col("size") < 100_000, F.lit("under 100 KB")), (~seconds.between(3.0, 14.0), F.format_string("dur %.1fs", seconds)), (~S.is_clip_id(F.col("vid")), F.lit("bad id"))])
+    return c.select("vid", F.coalesce(found, F.lit("ok")).alias("problems"))
+
+
 @query("select a.vid, a.frames, b.heads from (select vid, count(distinct seq) as frames from frame_scores group by vid) a join (select distinct vid from frame_scores where ok) using (vid) left join (select vid, count(distinct active_head) as heads from frame_scores where not ok group by vid) b using (vid)")
 def feed_join(spark, d):
     """Clips that have a scored frame (semi join), with the number of heads of their failed frames if any (left join)."""
@@ -627,25 +651,67 @@ def feed_join(spark, d):
 
 
 def _labelled_vectors(spark, d):
-    return T.vectors(spark, d).filter("label is not null and tag = 'clean'").withColumn("label", F.when(F.col("label") >= 1, 1).otherwise(0))
+    """Training rows (clean and augmented draws of two thirds of the pictures) and evaluation rows (clean and every condition of
+    the others), each picture on one side."""
+    v = T.vectors(spark, d).filter("label is not null").withColumn("label", F.when(F.col("label") >= 1, 1).otherwise(0))
+    v = save(sampling.grouped_split(v, "path", 1), "vectors")
+    return v.filter("part = 'train'").filter(F.col("tag").isin("clean", "train_aug")), v.filter("part = 'test' and tag <> 'train_aug'")
 
 
 @query()
 def logreg_scores(spark, d):
-    """A head trained on two thirds of the pictures and tested on the others: (part, n, auc)."""
-    v = sampling.grouped_split(_labelled_vectors(spark, d), "path", 1).persist()
-    model = models.train_head(v.filter("part = 'train'"), reg=0.001)
-    return _round(roc.metrics(models.head_scores(model, v), ["part"], "p").select("part", "n", "auc"), "auc")
+    """A head trained by logistic regression on two thirds of the pictures, tested on the others: (tag, n, auc)."""
+    train, test = _labelled_vectors(spark, d)
+    model = models.train_head(train, reg=0.001)
+    return _round(roc.metrics(models.head_scores(model, test), ["tag"], "p").select("tag", "n", "auc"), "auc")
 
 
 @query()
 def head_sweep(spark, d):
-    v = sampling.grouped_split(_labelled_vectors(spark, d), "path", 1)
-    return models.sweep(v.filter("part = 'train'"), v.filter("part = 'test'"), [0.0, 0.01, 0.1], [20, 50])
+    """All settings of the three sweeps (regularisation 40, normalisation 3, loss 6), trained together."""
+    train, test = _labelled_vectors(spark, d)
+    every = [x for kind in ("reg", "norm", "loss") for x in models.sweep_settings(kind)]
+    return _round(models.sweep_heads(train, test, every), "clean_auc", "worst_auc", "mean_degraded_auc", digits=4)
+
+
+@query()
+def train_history(spark, d):
+    """The frozen training: draws, head, the epoch of the best degraded AUC, shortcut gap; one row for each epoch."""
+    train, test = _labelled_vectors(spark, d)
+    clean, degraded = test.filter("tag = 'clean'"), test.filter("tag <> 'clean'")
+    alternative = T.vectors(spark, d).filter("tag = 'clean'").join(T.pictures(spark, d).filter("real_set = 'alt'").select("path"), "path", "left_semi")
+    _, history, summary = models.train_frozen([train.filter(F.col("tag") == t) for t in ("clean", "train_aug")], clean, degraded, alternative)
+    rows = [(h["epoch"], h["train_auc"], h["val_clean"], h["val_degraded"], h["epoch"] == summary["best_epoch"], summary["shortcut_gap"]) for h in history]
+    return _round(spark.createDataFrame(rows, "epoch int, train_auc double, val_clean double, val_degraded double, best boolean, shortcut_gap double"), "train_auc", "val_clean", "val_degraded", "shortcut_gap", digits=4)
+
+
+@query()
+def clean_draws(spark, d):
+    """Whether a clean draw helps: degraded draws, degraded and clean, and as many degraded as a control of volume."""
+    train, test = _labelled_vectors(spark, d)
+    clean = train.filter("tag = 'clean'")
+    half = F.pmod(F.xxhash64("vec_id"), F.lit(3))
+    e0, e1, e2 = (train.filter("tag = 'train_aug'").filter(half == i) for i in range(3))
+    return _round(models.draw_arms({"two degraded": [e0, e1], "two degraded, one clean": [e0, e1, clean], "three degraded": [e0, e1, e2]}, test), "clean_auc", "worst_auc", "mean_degraded_auc", digits=4)
 
 
 @query()
 def gate_probe(spark, d):
-    """Which degradation a vector underwent: confusion on held-out pictures, normalised by row."""
-    p = models.probe(T.vectors(spark, d).select("tag", "path", "feats"), "tag", "path")
-    return _round(models.confusion(p, "tag"), "share")
+    """Which degradation a vector underwent, by condition, family and degraded or not: confusion on held-out pictures, by row."""
+    p = models.probe(T.vectors(spark, d).filter("tag <> 'train_aug'").select("tag", "path", "feats"), "tag", "path")
+    return _round(p.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("grain", "label"))), "share")
+
+
+@query(with_(VECTORS) + "select round(max(n) / sum(n), 6) as majority_share from (select tag, count(*) as n from v group by tag)")
+def majority_share(spark, d):
+    return _round(models.majority_share(T.vectors(spark, d), "tag"), "majority_share")
+
+
+@query(with_(VECTORS, "st as (select i, avg(feats[i]::double) as m, stddev_pop(feats[i]::double) as s from v, range(1, 65) r(i) where tag = 'clean' group by i)") + "select v.vec_id, round((feats[1] - a.m) / greatest(a.s, 1e-6), 5) as first, round((feats[64] - b.m) / greatest(b.s, 1e-6), 5) as last from v, st a, st b where a.i = 1 and b.i = 64")
+def standardized(spark, d):
+    """Every vector by mean and deviation of the clean ones."""
+    v = T.vectors(spark, d)
+    stats = {r.pos: (r.mean, r.std) for r in V.column_stats(v.filter("tag = 'clean'"), "feats").collect()}  # 64 rows
+    mean, std = ([stats[i][k] for i in sorted(stats)] for k in (0, 1))
+    u = v.select("vec_id", V.standardize(F.col("feats"), V.constant(mean), V.constant(std)).alias("u"))
+    return u.select("vec_id", F.round(F.col("u")[0], 5).alias("first"), F.round(F.col("u")[63], 5).alias("last"))
