@@ -269,8 +269,9 @@ def content_hash(img: np.ndarray) -> str:
 
 def array_of(width: int, height: int, rgb: bytes) -> np.ndarray | None:
     """The picture, or None if the bytes are not width x height x 3."""
-    if rgb is None or not width or not height or len(rgb) != width * height * 3:
-        return None
+    if rgb is None or not width or not height or width != width or height != height or len(rgb) != width * height * 3:
+        return None  # nulls among integers come as NaN
+    width, height = int(width), int(height)
     return np.frombuffer(rgb, dtype=np.uint8).reshape(height, width, 3)
 
 
@@ -340,8 +341,9 @@ def encode_udf(picture: pd.DataFrame) -> pd.Series:
 def from_image_source(image: pd.DataFrame) -> pd.DataFrame:
     """Rows of Spark's image source (blue, green, red, or grey, with or without alpha) to pictures; nulls where it could not read."""
     def one(w, h, channels, data):
-        if data is None or w is None or w < 1 or len(data) != w * h * channels:
+        if data is None or not w >= 1 or len(data) != w * h * channels:
             return None
+        w, h, channels = int(w), int(h), int(channels)
         x = np.frombuffer(data, np.uint8).reshape(h, w, channels)
         return x[..., 2::-1] if channels >= 3 else x[..., :1].repeat(3, -1)
 
