@@ -14,10 +14,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Usable scores, each once, with the tag and order of their condition."""
+    """Usable scores, with the tag and order of their condition; rows that stand twice count once (by a hash aggregate of whole
+    rows: one that picks a row for each key would have to sort)."""
     e = table(spark, d, "errors_top").select("err_id", "arm", "path", "score", "label", "condition")
     e = e.filter(F.col("label").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score") & F.col("score").between(0, 1))
-    return with_tag(e.dropDuplicates(["err_id"]), table(spark, d, "conditions"))
+    return with_tag(e.distinct(), table(spark, d, "conditions"))
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
