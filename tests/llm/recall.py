@@ -47,8 +47,8 @@ def main() -> None:
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     q = np.random.default_rng(1).permutation(np.flatnonzero(ids % 20 == 0))[:asked]
     near, cos = [], []
-    for i in range(0, len(q), 200):
-        own = q[i : i + 200]
+    for i in range(0, len(q), 50):
+        own = q[i : i + 50]
         sim = x[own] @ x.T
         sim[np.arange(len(own)), own] = -2
         top = np.argpartition(-sim, 9, axis=1)[:, :10]
