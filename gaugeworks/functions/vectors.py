@@ -45,6 +45,11 @@ def clamp(p: Column, lower: float = 0.0, upper: float = 1.0) -> Column:
     return F.when(p.isNotNull(), F.greatest(F.lit(lower), F.least(F.lit(upper), p)))
 
 
+def printed(c: Column, digits: int = 4) -> Column:
+    """Rounded for a report, halves to the even digit."""
+    return F.bround(c, digits)
+
+
 def focal_loss(p: Column, label: Column, gamma: float = 2.0, alpha: float | None = 0.5, floor: float = 1e-12) -> Column:
     """Focal loss of one score: alpha_t (1 - p_t)^gamma (-log p_t)."""
     pt = F.greatest(F.when(label >= 1, p).otherwise(F.lit(1.0) - p), F.lit(floor))

@@ -59,6 +59,18 @@ def expand_conditions(samples: DataFrame, conditions: DataFrame) -> DataFrame:
     return samples.select("*", F.inline(item))
 
 
+def paired(clean: DataFrame, degraded: DataFrame, on: str = "path") -> DataFrame:
+    """(on, label, clean, degraded): two scored tables (on, label, score) of the same pictures, row for row. A picture that only
+    one of them has, has twice, or has with another label is an error."""
+    side = lambda d, k: d.groupBy(on).agg(F.count(F.lit(1)).alias(f"_n{k}"), F.min("label").alias(f"_l{k}"), F.max("label").alias(f"_m{k}"), F.min("score").alias(f"_s{k}"))
+    both = save(side(clean, 0).join(side(degraded, 1), on, "full"), "paired")
+    good = (F.col("_n0") == 1) & (F.col("_n1") == 1) & F.col("_l0").eqNullSafe(F.col("_l1"))
+    wrong = both.filter(~F.coalesce(good, F.lit(False))).limit(10).collect()
+    if wrong:
+        raise ValueError(f"the tables do not hold the same pictures: {[r[on] for r in wrong]}")
+    return both.select(on, F.col("_l0").alias("label"), F.col("_s0").alias("clean"), F.col("_s1").alias("degraded"))
+
+
 def counterfactual(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One-class controls of (label, clean, degraded) scores: AUC with none, both, only fakes, only reals degraded, and the
     share of reals flagged (score > threshold). The four columns become rows of one grouped pass."""

@@ -11,6 +11,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # heaps of the top N are small: a task may hold many groups before its aggregate falls back to sorting (Spark's default is 128)
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "50000",
 }
 
 

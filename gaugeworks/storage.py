@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where this process wrote tables that are not discarded yet.
+_WRITTEN: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names.
 
@@ -38,6 +42,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     fs, p = filesystem(spark, path)
     fs.deleteOnExit(p)  # when the driver ends
+    _WRITTEN.add(path)
     out = spark.read.schema(schema).parquet(path)
     out._saved_at = path
     return out
@@ -47,5 +52,20 @@ def discard(df: DataFrame) -> None:
     """Delete a table of save() that nothing reads any more."""
     path = getattr(df, "_saved_at", None)
     if path:
-        fs, p = filesystem(df.sparkSession, path)
-        fs.delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = filesystem(spark, path)
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
+    _WRITTEN.discard(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all tables that save() wrote and nothing discarded, between the queries of a long session: results that were not
+    yet read are lost with them. How many there were."""
+    paths = list(_WRITTEN)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
