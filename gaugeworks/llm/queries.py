@@ -334,7 +334,7 @@ _IGNORED = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in lookalike.IGNORABLE)
 _LOOK = f"regexp_replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '[{_IGNORED}]', '', 'g')"
 _LOOK = f"regexp_replace({_LOOK}, '[\\t\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')"
 _LOOK = f"translate({_LOOK}, '{_FROM.replace(chr(39), chr(39) * 2)}', '{_TO.replace(chr(39), chr(39) * 2)}')"
-for _old, _new in (("\u2010", "-"), ("\u2011", "-"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\u2026", "...")):
+for _old, _new in (("\u00b5", "\u03bc"), ("\u2010", "-"), ("\u2011", "-"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\u2026", "...")):
     _LOOK = f"replace({_LOOK}, '{_old}', '{_new}')"
 #: The differences that the documents hold, undone one by one; by far not all that the operator knows.
 _P8 = f"""
@@ -353,6 +353,7 @@ def oracle_sql():
         "p1_kept": _P1_KEPT, "p1_size": _P1_SIZE, "p2_neighbours": _P2_NEAR, "p5_components": _P5_COMPONENTS, "p5_kept": _P5_KEPT, "p6_kept": _P6_KEPT, "p7_kept": _P7_KEPT,
         "p8_found": _P8,
         "p8_classes": _P8_CLASSES,
+        "p8_forms": f"select doc_id, form, form <> text as changed from (select doc_id, text, nfc_normalize({_LOOK}) as form from documents)",
         "p2_found": _P2,
         "p1_found": _P1, "p3_found": _P3, "p4_found": _P4 + "select distinct err_id from k where rank <= 5",
         "p4_top_errors": _P4 + "select arm, condition, label, err_id, path, score, rank::int as rank from k where rank <= 5",
