@@ -100,6 +100,7 @@ class CentroidGraph:
     def search(self, q: np.ndarray, k: int, width: int = 24, steps: int = 6, wide: int = 3) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest centroids of each query by the graph and their similarities, best first."""
         n = len(self.c)
+        steps = max(steps, -(-k // wide) + 2)
         k, width = min(k, n), min(max(width, k), n)
         if n <= max(FEW, 4 * width):  # the walk would see all of them
             ids = np.broadcast_to(np.arange(n, dtype=np.int32), (len(q), n))
@@ -213,10 +214,14 @@ class Lists:
     def place(self, item: np.ndarray, code: np.ndarray, belongs: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, ...]:
         """(list, tile, role, row): one entry for each list and tile that a vector belongs to or searches; role 1 belongs, 2
         searches, 3 both."""
-        ids, member, probe = self.graph.lists(_unit(code), **self.settings)
-        role = (member & belongs[:, None]) + 2 * (probe & asks[:, None])
-        row, c = np.nonzero(role)
-        at, role = ids[row, c].astype(np.int64), role[row, c]
+        found = []
+        for own, settings in ((np.flatnonzero(asks), self.settings), (np.flatnonzero(~asks), self.settings | {"probes": 1})):  # who asks nothing needs few lists
+            if len(own):
+                ids, member, probe = self.graph.lists(_unit(code[own]), **settings)
+                role = (member & belongs[own, None]) + 2 * (probe & asks[own, None])
+                row, c = np.nonzero(role)
+                found.append((ids[row, c].astype(np.int64), role[row, c], own[row]))
+        at, role, row = (np.concatenate(x) for x in zip(*found))
         parts, turns = self.parts[at], self.turns[at]
         dense = parts * turns > 1
         if not dense.any():

@@ -14,7 +14,7 @@ from . import drawing, lookalike, mixing, neighbours, overlap, packing, splits,
 
 #: Placement of p2: rows of a posting list, lists that a vector belongs to and searches.
 PAIR_SETTINGS = {"list_rows": 2048, "members": 3, "probes": 3, "member_ratio": 1.3, "probe_ratio": 1.3, "spread": 0.0}
-SEARCH_SETTINGS = {"list_rows": 4096, "members": 4, "probes": 16, "member_ratio": 1.4, "probe_ratio": 1.6, "spread": 0.0}
+SEARCH_SETTINGS = {"list_rows": 4096, "members": 4, "probes": 40, "member_ratio": 1.4, "probe_ratio": 2.0, "spread": 0.0}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
