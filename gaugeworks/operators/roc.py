@@ -8,7 +8,7 @@ one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,9 +37,8 @@ def _range(c: str, lower: float = 0.0, upper: float = 1.0) -> Column:
 def cumulate(counts: DataFrame, group: list[str], columns: list[str], lower: float = 0.0, upper: float = 1.0) -> DataFrame:
     """Add, for each column, <column>_below (its sum over strictly smaller scores of the group) and <column>_all. The counts
     are written first: what they are made of is read once, and their number tells whether two levels are needed."""
-    seen = Observation()
-    counts = save(counts.observe(seen, F.count(F.lit(1)).alias("n")), "counts")
-    if seen.get["n"] <= ONE_TASK:
+    counts = save(counts, "counts")
+    if counts.count() <= ONE_TASK:
         own = Window.partitionBy(*group)
         below = own.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
         return counts.select("*", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_below") for c in columns], *[F.sum(c).over(own).alias(f"{c}_all") for c in columns])
