@@ -82,8 +82,8 @@ def keep_any(path: Column, pieces: list[str]) -> Column:
 
 
 def class_ratio(real: Column, fake: Column) -> Column:
-    """'1:x', fakes for each real."""
-    return F.when(real > 0, F.format_string("1:%.2f", fake / real))
+    """'1:x', fakes for each real, two digits, halves to the even one."""
+    return F.when(real > 0, F.format_string("1:%.2f", F.rint(fake / real * 100) / 100))
 
 
 def plain(text: Column) -> Column:

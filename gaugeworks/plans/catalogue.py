@@ -180,19 +180,19 @@ def topk_errors(spark, d):
     return grids.top_errors(T.scored(spark, d)).select("err_id", "path", "score", "label", "tag")
 
 
-@query(with_(SCORED, f"top as ((select {_TOP} = 0 order by score desc, ord, path, err_id limit 20) union all (select {_TOP} >= 1 order by score, ord, path, err_id limit 20))") + "select tag, err_id, round(abs(score - label), 6) as miss, row_number() over (order by tag, abs(score - label) desc, err_id)::int as place from top")
+@query(with_(SCORED, f"top as ((select {_TOP} = 0 order by score desc, ord, path, err_id limit 20) union all (select {_TOP} >= 1 order by score, ord, path, err_id limit 20))") + "select tag, err_id, round(abs(score - label) + 1e-11::double, 6) as miss, row_number() over (order by tag, abs(score - label) desc, err_id)::int as place from top")
 def contact_sheet_order(spark, d):
     """The most confident errors in the order of their contact sheet: by condition, the furthest from their label first."""
     miss = F.abs(F.col("score") - F.col("label"))
     w = Window.orderBy("tag", F.desc(miss), "err_id")  # 40 rows
-    return grids.top_errors(T.scored(spark, d)).select("tag", "err_id", F.round(miss, 6).alias("miss"), F.row_number().over(w).alias("place"))
+    return grids.top_errors(T.scored(spark, d)).select("tag", "err_id", F.round(miss + F.lit(1e-11), 6).alias("miss"), F.row_number().over(w).alias("place"))
 
 
-@query(with_(SCORED) + "select arm, tag, err_id, round(abs(score - label), 6) as miss, row_number() over (partition by arm, tag order by abs(score - label) desc, err_id)::int as place from scored")
+@query(with_(SCORED) + "select arm, tag, err_id, round(abs(score - label) + 1e-11::double, 6) as miss, row_number() over (partition by arm, tag order by abs(score - label) desc, err_id)::int as place from scored")
 def contact_sheet_order_by_arm(spark, d):
     miss = F.abs(F.col("score") - F.col("label"))
     w = Window.partitionBy("arm", "tag").orderBy(F.desc(miss), "err_id")
-    return T.scored(spark, d).select("arm", "tag", "err_id", F.round(miss, 6).alias("miss"), F.row_number().over(w).alias("place"))
+    return T.scored(spark, d).select("arm", "tag", "err_id", F.round(miss + F.lit(1e-11), 6).alias("miss"), F.row_number().over(w).alias("place"))
 
 
 _PAIRS = """views as (
@@ -707,11 +707,11 @@ def majority_share(spark, d):
     return _round(models.majority_share(T.vectors(spark, d), "tag"), "majority_share")
 
 
-@query(with_(VECTORS, "st as (select i, avg(feats[i]::double) as m, stddev_pop(feats[i]::double) as s from v, range(1, 65) r(i) where tag = 'clean' group by i)") + "select v.vec_id, round((feats[1] - a.m) / greatest(a.s, 1e-6), 5) as first, round((feats[64] - b.m) / greatest(b.s, 1e-6), 5) as last from v, st a, st b where a.i = 1 and b.i = 64")
+@query(with_(VECTORS, "st as (select i, avg(feats[i]::double) as m, stddev_pop(feats[i]::double) as s from v, range(1, 65) r(i) where tag = 'clean' group by i)") + "select v.vec_id, round((feats[1] - a.m) / greatest(a.s, 1e-6), 5) + 0.0::double as first, round((feats[64] - b.m) / greatest(b.s, 1e-6), 5) + 0.0::double as last from v, st a, st b where a.i = 1 and b.i = 64")
 def standardized(spark, d):
     """Every vector by mean and deviation of the clean ones."""
     v = T.vectors(spark, d)
     stats = {r.pos: (r.mean, r.std) for r in V.column_stats(v.filter("tag = 'clean'"), "feats").collect()}  # 64 rows
     mean, std = ([stats[i][k] for i in sorted(stats)] for k in (0, 1))
     u = v.select("vec_id", V.standardize(F.col("feats"), V.constant(mean), V.constant(std)).alias("u"))
-    return u.select("vec_id", F.round(F.col("u")[0], 5).alias("first"), F.round(F.col("u")[63], 5).alias("last"))
+    return u.select("vec_id", (F.round(F.col("u")[0], 5) + F.lit(0.0)).alias("first"), (F.round(F.col("u")[63], 5) + F.lit(0.0)).alias("last"))  # no negative zero
